@@ -6,13 +6,29 @@ import public_tokenizers
 
 from rankflow.llm.common import read_table
 from rankflow.llm.encoding import encode_decode
+from rankflow.llm.html_text import extract
 from rankflow.llm.packing import pack
+from rankflow.llm.quality_rules import ORACLE_SQL as RULES_SQL
+from rankflow.llm.quality_rules import judge
+from rankflow.llm.secrets import scan
+
+
+def op3_secrets(spark, sf_dir):
+    return scan(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_bpe(spark, sf_dir):
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests_only=True)
 
 
+def op8_html(spark, sf_dir):
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+def op9_host_rules(spark, sf_dir):
+    return judge(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -22,4 +38,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_host_rules": RULES_SQL}
