@@ -6,6 +6,8 @@ import public_tokenizers
 
 from rankflow.llm.common import read_table
 from rankflow.llm.encoding import encode_decode
+from rankflow.llm.exact_dedup import ORACLE_SQL as DEDUP_SQL
+from rankflow.llm.exact_dedup import dedup_table
 from rankflow.llm.html_text import extract
 from rankflow.llm.packing import pack
 from rankflow.llm.quality_rules import ORACLE_SQL as RULES_SQL
@@ -13,6 +15,10 @@ from rankflow.llm.quality_rules import judge
 from rankflow.llm.secrets import scan
 
 
+def op2_exact_dedup(spark, sf_dir):
+    return dedup_table(spark, f"{sf_dir}/documents.parquet")
+
+
 def op3_secrets(spark, sf_dir):
     return scan(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,4 +44,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_host_rules": RULES_SQL}
+    return {"op2_exact_dedup": DEDUP_SQL, "op9_host_rules": RULES_SQL}
