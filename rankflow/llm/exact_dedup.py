@@ -43,7 +43,8 @@ def run_stream(spark: SparkSession, path: str, schema, id_col: str, text_col: st
     for k, v in _ROCKSDB.items():
         spark.conf.set(k, v)
     try:
-        stream = _keyed(spark.readStream.schema(schema).options(**(batch or {"maxBytesPerTrigger": BATCH_BYTES})).parquet(path), id_col, text_col)
+        # As a pattern, the path may also be a single file.
+        stream = _keyed(spark.readStream.schema(schema).options(**(batch or {"maxBytesPerTrigger": BATCH_BYTES})).parquet(f"{path[:-1]}[{path[-1]}]"), id_col, text_col)
         states = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "locator")).alias("kept"))
         query = (
             states.writeStream.outputMode("update")

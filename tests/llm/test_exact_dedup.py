@@ -63,3 +63,12 @@ def test_keep_one_and_empty(spark, tmp_path):
     kept = keep_one(frame)
     assert kept.columns == frame.columns and sorted(lower(r.text) for r in kept.collect()) == sorted({lower(t) for _, t in ROWS})
     assert keep_one(frame.limit(0)).count() == 0
+
+
+def test_single_file(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "one.parquet")
+    pq.write_table(pa.table({"doc_id": [1, 2], "text": ["A", "a"]}), path)
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in dedup_table(spark, path).collect()) == [(1, 2, False), (2, 2, True)]
