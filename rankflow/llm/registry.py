@@ -12,6 +12,7 @@ from rankflow.llm.html_text import extract
 from rankflow.llm.packing import pack
 from rankflow.llm.quality_rules import ORACLE_SQL as RULES_SQL
 from rankflow.llm.quality_rules import judge
+from rankflow.llm.repeats import find_repeats
 from rankflow.llm.secrets import scan
 
 
@@ -27,6 +28,10 @@ def op5_bpe(spark, sf_dir):
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests_only=True)
 
 
+def op7_repeats(spark, sf_dir):
+    return find_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark, sf_dir):
     return extract(read_table(spark, sf_dir, "pages"))
 
