@@ -9,6 +9,7 @@ from rankflow.llm.encoding import encode_decode
 from rankflow.llm.exact_dedup import ORACLE_SQL as DEDUP_SQL
 from rankflow.llm.exact_dedup import dedup_table
 from rankflow.llm.html_text import extract
+from rankflow.llm.near_dedup import near_duplicates
 from rankflow.llm.packing import pack
 from rankflow.llm.quality_rules import ORACLE_SQL as RULES_SQL
 from rankflow.llm.quality_rules import judge
@@ -28,6 +29,10 @@ def op5_bpe(spark, sf_dir):
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests_only=True)
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_repeats(spark, sf_dir):
     return find_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k == "pipeline" or (k.startswith("op") and callable(v))}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
