@@ -9,6 +9,7 @@ from rankflow.llm.encoding import encode_decode
 from rankflow.llm.exact_dedup import ORACLE_SQL as DEDUP_SQL
 from rankflow.llm.exact_dedup import dedup_table
 from rankflow.llm.html_text import extract
+from rankflow.llm.lattice import score_texts
 from rankflow.llm.near_dedup import near_duplicates
 from rankflow.llm.packing import pack
 from rankflow.llm.quality_rules import ORACLE_SQL as RULES_SQL
@@ -25,6 +26,10 @@ def op3_secrets(spark, sf_dir):
     return scan(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_lattice(spark, sf_dir):
+    return score_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_bpe(spark, sf_dir):
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests_only=True)
 
