@@ -75,3 +75,26 @@ def fresh_name(columns, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def join_salted(rows: DataFrame, lookup: DataFrame, on: list[str], salts: int = 32) -> DataFrame:
+    """Left join of ``rows`` with one row of ``lookup`` per key; the rows of a hot key are dealt to ``salts`` tasks."""
+    salt = fresh_name([*rows.columns, *lookup.columns], "salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, salt], "left").drop(salt)
+
+
+def maybe_in(rows: DataFrame, on: list[Column], members: DataFrame, member_on: list[Column], bits: int = 1 << 26) -> DataFrame:
+    """``rows`` without most of those whose key no row of ``members`` has; none that has one is lost.
+
+    A bitmap of ``bits`` slots (8 MB at most, however many members) is broadcast, so wide rows that a later join would
+    drop are not shuffled for it. Of many members it lets more through.
+    """
+    slot = lambda key: F.pmod(F.xxhash64(*key), F.lit(bits)) + 1
+    number, bitmap, at = (fresh_name(rows.columns, n) for n in ("_number", "_bitmap", "_at"))
+    one = slot(member_on)
+    maps = members.groupBy(F.bitmap_bucket_number(one).alias(number)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias(bitmap))
+    found = rows.withColumn(at, slot(on)).withColumn(number, F.bitmap_bucket_number(at)).withColumn(at, F.bitmap_bit_position(at))
+    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, int({at} div 8) + 1, 1)")), 16, 10).cast("int")
+    return found.join(F.broadcast(maps), number).filter(byte.bitwiseAND(F.expr(f"shiftleft(1, int({at} % 8))")) != 0).drop(number, bitmap, at)

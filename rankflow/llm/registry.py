@@ -16,6 +16,11 @@ from rankflow.llm.quality_rules import ORACLE_SQL as RULES_SQL
 from rankflow.llm.quality_rules import judge
 from rankflow.llm.repeats import find_repeats
 from rankflow.llm.secrets import scan
+from rankflow.llm.site_quality import classify
+
+
+def op1_site_quality(spark, sf_dir):
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op2_exact_dedup(spark, sf_dir):
