@@ -8,11 +8,12 @@ import pandas as pd
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = "[0-9a-zа-яё]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition, for which there is no built-in."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
