@@ -5,8 +5,8 @@ leftmost of its grams with the smallest hash, so equal windows have equal anchor
 contexts whose anchor is alone are settled, as are those that all agree. What is left is cut into slices by offset and
 settled alike by the core that all windows of a slice share. The slices that still disagree go, by core, to tasks that
 build a Burrows-Wheeler transform for each of two shards and merge them by iterative interleave refinement: after k
-steps suffixes with the same first k bytes form a block, so after ``length`` steps the blocks of two or more are the
-repeated strings. A core that very many slices share is settled window by window instead, by hash and with no task for
+steps suffixes with the same first k symbols form a block. The core being one symbol, windows are as many symbols as a
+slice has windows, and after so many steps the blocks of two or more are the repeated strings. A core that very many slices share is settled window by window instead, by hash and with no task for
 the group.
 """
 
@@ -21,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import materialize, prepare
+from rankflow.llm.common import materialize, maybe_in, prepare
 
 LENGTH, GRAM, SLICE = 400, 96, 32
 #: Slices of one core up to which they meet in a task; beyond it windows are counted by hash.
 MOST_MEMBERS = 2000
-#: Bytes that a merge takes at a time, and that a task has.
-MERGE_BYTES, TASK_BYTES = 256 << 10, 4 << 20
+#: Symbols that a merge takes at a time, and that a task has; symbols of bytes come first, then these.
+MERGE_SYMBOLS, TASK_SYMBOLS = 256 << 10, 4 << 20
+SEPARATOR, END, CORES, MOST_CORES = 256, 257, 257, 60_000
 #: Windows that are hashed at a time.
 CHUNK = 1 << 20
 _U = np.uint64
@@ -114,25 +115,28 @@ def occurrences(text: bytes, length: int, gram: int) -> tuple[list, list]:
     return list(seen.values()), again
 
 
-def slices(text: bytes, lo: int, n: int, anchor: int, length: int, gram: int, width: int) -> list[tuple[int, int, int, int]]:
-    """Cut a context by offset from its anchor: ``(core hash, whole hash, first window, windows)``."""
+def slices(text: bytes, lo: int, n: int, anchor: int, length: int, gram: int, width: int) -> list[tuple[int, int, int, int, int]]:
+    """Cut a context by offset from its anchor: ``(core hash, whole hash, first window, windows, windows skipped)``.
+
+    The core is what all ``width`` windows of a full slice share; a slice at a context's end lacks some of them.
+    """
     found, base = [], anchor - (length - gram)
     for j in range((lo - base) // width, (lo + n - 1 - base) // width + 1):
         start = base + j * width
         a, b = max(lo, start), min(lo + n, start + width)
         core = xxhash.xxh3_64_intdigest(text[start + width - 1 : start + length], j if width > 1 else 0)
         whole = xxhash.xxh64_intdigest(text[a : b - 1 + length], a - start)
-        found.append((_signed(core), _signed(whole), a, b - a))
+        found.append((_signed(core), _signed(whole), a, b - a, a - start))
     return found
 
 
 def shard_bwt(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rotations of ``text`` (its last byte must be found once) and the bytes before them."""
+    """Order of the rotations of ``text`` (its last symbol, of 16 bits, must be found once) and the symbols before them."""
     n = len(text)
     key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = key << _U(8) | np.roll(text, -j)
-    step = 8
+    for j in range(4):
+        key = key << _U(16) | np.roll(text, -j)
+    step = 4
     while True:
         order = np.argsort(key, kind="stable")
         ranked = key[order]
@@ -145,10 +149,10 @@ def shard_bwt(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merge_bwts(first: np.ndarray, second: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of two transforms by iterative refinement, and each row's block of equal prefixes of ``depth`` bytes.
+    """Interleave of two transforms by iterative refinement, and each row's block of equal prefixes of ``depth`` symbols.
 
-    Step k turns the order by k-1 bytes into the order by k bytes: the byte before each suffix is read from its own
-    transform and suffixes are dealt out by it, stably. A row starts a block when its byte or its successor's block
+    Step k turns the order by k-1 symbols into the order by k: the symbol before each suffix is read from its own
+    transform and suffixes are dealt out by it, stably. A row starts a block when its symbol or its successor's block
     differs from the row above: the step at which that happens is their common prefix plus one.
     """
     n = len(first) + len(second)
@@ -156,11 +160,11 @@ def merge_bwts(first: np.ndarray, second: np.ndarray, depth: int) -> tuple[np.nd
     of_second[len(first) :] = True
     block = np.zeros(n, np.int32)
     starts = np.zeros(n, bool)
-    byte = np.empty(n, np.uint8)
+    symbol = np.empty(n, first.dtype)
     for _ in range(depth):
-        byte[~of_second], byte[of_second] = first, second
-        order = np.argsort(byte, kind="stable")
-        turned, dealt, below = of_second[order], byte[order], block[order]
+        symbol[~of_second], symbol[of_second] = first, second
+        order = np.argsort(symbol, kind="stable")
+        turned, dealt, below = of_second[order], symbol[order], block[order]
         fresh = np.empty(n, bool)
         fresh[0] = True
         np.not_equal(dealt[1:], dealt[:-1], out=fresh[1:])
@@ -172,28 +176,29 @@ def merge_bwts(first: np.ndarray, second: np.ndarray, depth: int) -> tuple[np.nd
     return of_second, block
 
 
-def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string: at which of its windows of ``length`` bytes a window starts that is found again in any string."""
-    if len(strings) < 2:
-        strings, alone = [*strings, b""], True
-    else:
-        alone = False
+def repeated_windows(strings: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """For each string of symbols: at which of its windows of ``length`` one starts that is found again in any string.
+
+    ``SEPARATOR`` and ``END`` must not be in the strings.
+    """
     half = len(strings) // 2
     orders, bwts, flags, starts = [], [], [], []
     for shard in (strings[:half], strings[half:]):
-        text = np.frombuffer(b"\xff".join(shard) + b"\xfe", np.uint8)
+        sizes = np.array([len(s) + 1 for s in shard], dtype=np.int64)
+        text = np.full(max(1, int(sizes.sum())), SEPARATOR, np.uint16)
+        starts.append(np.cumsum(sizes) - sizes)
+        for at, s in zip(starts[-1], shard):
+            text[at : at + len(s)] = s
+        text[-1] = END
         order, bwt = shard_bwt(text)
         orders.append(order)
         bwts.append(bwt)
-        sizes = np.array([len(s) + 1 for s in shard])
-        starts.append(np.cumsum(sizes) - sizes)
         flags.append(np.zeros(len(text), bool))
     of_second, block = merge_bwts(*bwts, length)
     many = np.bincount(block)[block] > 1
     for k, rows in enumerate((~of_second, of_second)):
         flags[k][orders[k]] = many[rows]
-    found = [flags[k][s : s + max(0, len(t) - length + 1)] for k, part in enumerate((strings[:half], strings[half:])) for s, t in zip(starts[k], part)]
-    return found[:-1] if alone else found
+    return [flags[k][s : s + max(0, len(t) - length + 1)] for k, part in enumerate((strings[:half], strings[half:])) for s, t in zip(starts[k], part)]
 
 
 def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -201,23 +206,35 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _settle(rows, length):
-    """Repeated windows of the slices ``(core, sid, lo, bytes)`` of one task, in portions of whole cores."""
+def _settle(rows, width):
+    """Repeated windows of the slices ``(core, sid, lo, left, right)`` of one task, in portions of whole cores.
+
+    All slices of a core have it in common, so it stands as one symbol of its own between the bytes to its left and
+    right: each window is then ``width`` symbols, and as many steps of refinement tell which are equal.
+    """
     rows.sort(key=lambda r: r[0])
-    portion, size = [], 0
+    portion, size, cores = [], 0, 0
     for i, row in enumerate(rows):
-        portion.append(row)
-        size += len(row[3])
-        if i + 1 == len(rows) or (size >= MERGE_BYTES and rows[i + 1][0] != row[0]):
-            groups: dict[bytes, list] = {}
+        if not portion or portion[-1][0] != row[0]:
+            cores += 1
+        portion.append((row[0], *row[1:], CORES + cores))
+        size += len(row[3]) + len(row[4]) + 2
+        last = i + 1 == len(rows) or rows[i + 1][0] != row[0]
+        if last and (i + 1 == len(rows) or size >= MERGE_SYMBOLS or cores >= MOST_CORES):
+            groups: dict[tuple, list] = {}
             for r in portion:
-                groups.setdefault(r[3], []).append(r)
-            for (text, members), hit in zip(groups.items(), repeated_windows(list(groups), length)):
+                groups.setdefault((r[5], r[3], r[4]), []).append(r)
+            strings = []
+            for core, left, right in groups:
+                text = np.empty(len(left) + 1 + len(right), np.uint16)
+                text[: len(left)], text[len(left)], text[len(left) + 1 :] = np.frombuffer(left, np.uint8), core, np.frombuffer(right, np.uint8)
+                strings.append(text)
+            for members, hit in zip(groups.values(), repeated_windows(strings, width)):
                 if len(members) > 1:
-                    hit = np.ones(len(text) - length + 1, bool)
-                for _, sid, lo, _ in members:
+                    hit = np.ones(len(hit), bool)
+                for _, sid, lo, *_ in members:
                     yield from ((sid, lo + a, lo + b) for a, b in _runs(hit))
-            portion, size = [], 0
+            portion, size, cores = [], 0, 0
 
 
 def _table(rows, schema: pa.Schema):
@@ -226,7 +243,7 @@ def _table(rows, schema: pa.Schema):
 
 
 _OCC = pa.list_(pa.struct([("key", pa.int64()), ("digest", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("anchor", pa.int32()), ("weight", pa.int32())]))
-_SLICE = pa.list_(pa.struct([("core", pa.int64()), ("whole", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())]))
+_SLICE = pa.list_(pa.struct([("core", pa.int64()), ("whole", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("skip", pa.int32())]))
 
 
 def _nested(rows, kind):
@@ -256,7 +273,7 @@ def _sliced(texts: DataFrame, wanted: str, width: int, length: int, gram: int) -
                 out.append([s for c in found.as_py() for s in slices(body, c["lo"], c["n"], c["anchor"], length, gram, width)])
             yield pa.RecordBatch.from_arrays([ids, _nested(out, _SLICE)], names=["sid", "slices"])
 
-    made = texts.select("sid", "body", wanted).mapInArrow(run, "sid bigint, slices array<struct<core:bigint,whole:bigint,lo:int,n:int>>")
+    made = texts.select("sid", "body", wanted).mapInArrow(run, "sid bigint, slices array<struct<core:bigint,whole:bigint,lo:int,n:int,skip:int>>")
     return made.select("sid", F.inline("slices"))
 
 
@@ -288,8 +305,9 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     occ = rows.select("text_id", name.alias("row_name"), F.inline("occ"))
     shared = occ.join(_agreeing(occ, "key", "digest", "weight"), "key")
     by_text = shared.groupBy("text_id", "row_name").agg(F.collect_set(F.struct("lo", "n", "anchor", "agree")).alias("occ"), (F.max("weight") > 1).alias("twice"))
-    wanted = by_text.join(copies, ["text_id", "row_name"])
-    bodies = source.filter(F.length("body") >= length).select(F.unhex(F.sha2("body", 256)).alias("text_id"), name.alias("row_name"), "body")
+    wanted = materialize(by_text.join(copies, ["text_id", "row_name"]), "repeat-wanted")
+    bodies = maybe_in(source.filter(F.length("body") >= length).withColumn("row_name", name), [F.col("row_name")], wanted, [F.col("row_name")])
+    bodies = bodies.select(F.unhex(F.sha2("body", 256)).alias("text_id"), "row_name", "body")
     chosen = bodies.join(wanted, ["text_id", "row_name"]).dropDuplicates(["text_id", "row_name"])
     pick = lambda agree: F.transform(F.filter("occ", lambda c: c["agree"] == agree), lambda c: F.struct(c["lo"], c["n"], c["anchor"]))
     texts = materialize(chosen.select(F.monotonically_increasing_id().alias("sid"), "text_id", "body", "copies", "twice", pick(True).alias("whole"), pick(False).alias("parts")), "repeat-texts")
@@ -297,7 +315,7 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     cut = materialize(_sliced(texts.filter(F.size("parts") > 0), "parts", width, length, gram), "repeat-slices")
     judged = materialize(cut.join(_agreeing(cut, "core", "whole", F.lit(1)), "core"), "repeat-judged")
     hits = judged.filter("agree").select("sid", "lo", (F.col("lo") + F.col("n")).alias("hi"))
-    hits = hits.unionByName(_merged(judged.filter(~F.col("agree") & (F.col("members") <= most_members)), texts, length))
+    hits = hits.unionByName(_merged(judged.filter(~F.col("agree") & (F.col("members") <= most_members)), texts, length, width))
     hot = judged.filter(~F.col("agree") & (F.col("members") > most_members))
     hot = hot.groupBy("sid").agg(F.collect_list(F.struct("lo", "n", (F.col("lo") + length - gram).alias("anchor"))).alias("parts"))
     windows = _sliced(texts.select("sid", "body").join(hot, "sid"), "parts", 1, length, gram)
@@ -346,25 +364,27 @@ def cut_out(body: bytes, windows, length: int) -> tuple[bytes, int, int]:
     return kept, len(body) - len(kept), n_spans
 
 
-def _merged(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def _merged(wanted: DataFrame, texts: DataFrame, length: int, width: int) -> DataFrame:
     """Repeated windows ``(sid, lo, hi)`` within the slices of each core, from merged transforms."""
     spark = wanted.sparkSession
-    total = wanted.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
-    by_text = wanted.groupBy("sid").agg(F.collect_list(F.struct("core", "lo", "n")).alias("parts"))
+    total = wanted.agg(F.sum(F.col("n") + (width + 1))).first()[0] or 0
+    by_text = wanted.groupBy("sid").agg(F.collect_list(F.struct("core", "lo", "n", "skip")).alias("parts"))
 
     def read(batches):
         for batch in batches:
             out = []
             for sid, body, parts in zip(*batch.columns):
                 body, sid = body.as_py(), sid.as_py()
-                out += [(c["core"], sid, c["lo"], body[c["lo"] : c["lo"] + c["n"] - 1 + length]) for c in parts.as_py()]
-            yield _table(out, pa.schema([("core", pa.int64()), ("sid", pa.int64()), ("lo", pa.int32()), ("bytes", pa.binary())]))
+                for c in parts.as_py():
+                    lo, start = c["lo"], c["lo"] - c["skip"]
+                    out.append((c["core"], sid, lo, body[lo : start + width - 1], body[start + length : lo + c["n"] - 1 + length]))
+            yield _table(out, pa.schema([("core", pa.int64()), ("sid", pa.int64()), ("lo", pa.int32()), ("left", pa.binary()), ("right", pa.binary())]))
 
-    cut = texts.select("sid", "body").join(by_text, "sid").mapInArrow(read, "core bigint, sid bigint, lo int, bytes binary")
+    cut = texts.select("sid", "body").join(by_text, "sid").mapInArrow(read, "core bigint, sid bigint, lo int, left binary, right binary")
 
     def settle(batches):
-        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]  # about TASK_BYTES
-        yield _table(list(_settle(rows, length)), pa.schema([("sid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]  # about TASK_SYMBOLS
+        yield _table(list(_settle(rows, width)), pa.schema([("sid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TASK_BYTES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TASK_SYMBOLS))
     return cut.repartition(tasks, "core").mapInArrow(settle, "sid bigint, lo int, hi int")

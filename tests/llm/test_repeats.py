@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rankflow.llm.repeats import cut_out, find_repeats, gram_hashes, merge_bwts, repeated_windows, shard_bwt, window_minima
+from rankflow.llm.repeats import END, cut_out, find_repeats, gram_hashes, merge_bwts, repeated_windows, shard_bwt, window_minima
 
 
 def brute(texts, length):
@@ -55,8 +55,8 @@ def test_grams_and_minima():
 
 def test_merged_transforms_equal_a_sort():
     rng = random.Random(2)
-    shards = [bytes(rng.choice(b"ab") for _ in range(n)) + b"\xfe" for n in (40, 71)]
-    sorts = [shard_bwt(np.frombuffer(s, np.uint8)) for s in shards]
+    shards = [[rng.choice([97, 98, 300]) for _ in range(n)] + [END] for n in (40, 71)]
+    sorts = [shard_bwt(np.array(s, np.uint16)) for s in shards]
     for s, (order, bwt) in zip(shards, sorts):
         assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:] + s[:i])
     for depth in (1, 2, 5, 12):
@@ -71,9 +71,9 @@ def test_merged_transforms_equal_a_sort():
 def test_repeated_windows(length):
     rng = random.Random(length)
     for n in (1, 2, 3, 9):
-        strings = [bytes(rng.choice(b"abc") for _ in range(rng.randint(length, 30))) for _ in range(n)]
+        strings = [tuple(rng.choice([97, 98, 300]) for _ in range(rng.randint(length, 30))) for _ in range(n)]
         seen = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
-        for s, hit in zip(strings, repeated_windows(strings, length)):
+        for s, hit in zip(strings, repeated_windows([np.array(s, np.uint16) for s in strings], length)):
             assert hit.tolist() == [seen[s[i : i + length]] > 1 for i in range(len(s) - length + 1)]
 
 
