@@ -29,6 +29,8 @@ FREQUENT = 100_000
 COUNTED = 300_000
 #: Rounds of expectation maximisation, words that are handled together, bytes of a word that is handled alone.
 ROUNDS, TOGETHER, LONG = 2, 4096, 64
+#: Words that a task takes at a time.
+WORDS_PER_BLOCK = 1 << 16
 FOLDS, HELD_OUT = 7, 2
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
@@ -176,6 +178,19 @@ def _by_length(words: list[bytes]):
                 yield index, np.frombuffer(b"".join(b" " + words[i] for i in index), np.uint8).reshape(len(index), size + 1)
 
 
+def _gathered(batches, rows: int = WORDS_PER_BLOCK):
+    """Small batches as fewer of about ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def tokens(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
@@ -215,7 +230,7 @@ def learn(words: DataFrame, path: str, n_train: int, n_ends: int, rounds: int =
 
         def run(batches):
             lattice, total = Lattice(pieces_of(path), shared.value), np.zeros(len(shared.value))
-            for batch in batches:
+            for batch in _gathered(batches):
                 found, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
                 for index, block in _by_length(found):
                     if block is None:
@@ -257,12 +272,20 @@ def score_texts(documents: DataFrame, vocabulary_path: str, id_col: str = "doc_i
 
     def weigh(batches):
         lattice = Lattice(pieces_of(path), logs.value)
-        for batch in batches:
+        for batch in _gathered(batches):
             found = lattice.log_probabilities(batch.column(0).to_pylist()) / log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found)], names=["word", "n_train", "n_all", "weight"])
 
     words = materialize(counted.filter("length(word) > 0").mapInArrow(weigh, "word binary, n_train bigint, n_all bigint, weight double"), "weights")
-    top = words.orderBy(F.desc("n_all"), "word").limit(frequent).collect()
+    # Frequent words by a threshold from a histogram of about a thousand classes of frequency.
+    level = F.floor(F.log2("n_all") * 16).cast("int")
+    least, total = None, 0
+    for row in sorted(words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):
+        total += row["n"]
+        if total > frequent:
+            break
+        least = row["level"]
+    top = words.filter(level >= least).collect() if least is not None else []  # ``frequent`` rows at most
     known = spark.sparkContext.broadcast({bytes(r["word"]): (log10(r["n_train"] + 1), r["n_train"] > 0, r["weight"]) for r in top})
 
     def read(batches):
