@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 BUCKETS = 1_000_003
 _PRIME = 16_777_619
@@ -63,3 +69,30 @@ def crossed(token: Column, region: Column, n: int) -> Column:
 def request_priority(*parts: Column) -> Column:
     """Order key of a request among its week's: SHA-1 of its parts between unit separators."""
     return F.sha1(F.concat_ws("\x1f", *(p.cast("string") for p in parts)).cast("binary"))
+
+
+@F.pandas_udf(LongType())
+def blake2b_64(values: pd.Series) -> pd.Series:
+    """BLAKE2b with an 8-byte digest, little-endian, as a signed number; there is no built-in."""
+    return values.map(lambda v: None if v is None else int.from_bytes(hashlib.blake2b(str(v).encode(), digest_size=8).digest(), "little", signed=True))
+
+
+def sampled(value: Column, salt: str, share: float) -> Column:
+    """Whether a row is in a deterministic sample of about ``share``, by a keyed 64-bit hash."""
+    top = blake2b_64(F.concat(F.lit(salt + ":"), value.cast("string")))
+    return F.shiftrightunsigned(top, 11) < F.lit(int(share * (1 << 53)))
+
+
+def categorical(value: Column, n: int) -> Column:
+    """1 to ``n`` by BLAKE2b; 0 for null or empty."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text == "", F.lit(0).cast("long")).otherwise(F.pmod(F.shiftrightunsigned(blake2b_64(text), 1), F.lit(n)) + 1)
+
+
+@F.pandas_udf(LongType())
+def cross_64(a: pd.Series, b: pd.Series) -> pd.Series:
+    """A 64-bit product of two numbers with odd constants, exclusive-or'd, wrapping around."""
+    x, y = a.to_numpy(dtype=np.int64).view(np.uint64), b.to_numpy(dtype=np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (x * np.uint64(0x9E3779B97F4A7C15)) ^ (y * np.uint64(0xC2B2AE3D27D4EB4F))
+    return pd.Series(mixed.view(np.int64))

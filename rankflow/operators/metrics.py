@@ -148,3 +148,20 @@ def promotion(trials: DataFrame, floor: float) -> DataFrame:
     """The trial with the best of ``max(min(early, late), full)`` among those whose gains all reach the floor."""
     passing = trials.filter((F.col("early") >= floor) & (F.col("late") >= floor) & (F.col("full") >= floor))
     return passing.withColumn("robust", F.greatest(F.least("early", "late"), F.col("full"))).orderBy(F.desc("robust"), F.asc("trial")).limit(1)
+
+
+def best_trial(trials: DataFrame, *by: str, floors: dict[str, float] | None = None, prefer: str | None = None) -> DataFrame:
+    """The first trial by several metrics, each larger first, among those that reach all floors.
+
+    Exact ties go to the trial named ``prefer``, then to the smaller name.
+    """
+    passing = trials
+    for name, floor in (floors or {}).items():
+        passing = passing.filter(F.col(name) >= floor)
+    return passing.orderBy(*(F.desc(c) for c in by), F.desc(F.col("trial") == F.lit(prefer)), F.asc("trial")).limit(1)
+
+
+def retrieval_gate(old: DataFrame, new: DataFrame, least_gain: float, most_loss: float, least_union: float) -> DataFrame:
+    """Whether a source is accepted: gain at the short cutoff, loss at the long one, gain of the union. One row each."""
+    both = old.select(F.col("short").alias("_s"), F.col("long").alias("_l")).crossJoin(new.select("short", "long", "union"))
+    return both.select(((F.col("short") - F.col("_s") >= least_gain) & (F.col("_l") - F.col("long") <= most_loss) & (F.col("union") - F.col("_s") >= least_union)).alias("accepted"))

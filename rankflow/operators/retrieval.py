@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from rankflow.functions.text import tokens
 from rankflow.operators.ranking import top_k
@@ -106,3 +108,15 @@ def retrieve(requests: DataFrame, names: list[str], sources: Mapping[str, Source
         one = known[name](requests).select(F.lit(name).alias("source"), "request", "item", "rank", "score")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def score_rows(rows: DataFrame, load: Callable[[], object], predict: Callable[[object, pd.DataFrame], np.ndarray], columns: list[str], name: str = "score") -> DataFrame:
+    """``rows`` with a model's prediction: loaded once per task, fed with Arrow batches of the feature columns."""
+
+    @F.pandas_udf(DoubleType())
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            yield pd.Series(np.asarray(predict(model, batch), dtype=float))
+
+    return rows.withColumn(name, run(F.struct(*columns)))
