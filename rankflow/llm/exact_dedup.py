@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import fresh_name, lower_ascii, prepare, remove, work_path
+from rankflow.llm.common import fresh_name, join_salted, lower_ascii, materialize, maybe_in, prepare, without, work_path
 
 #: Input bytes that one micro-batch reads at most.
 BATCH_BYTES = str(256 << 30)
+#: Tasks to which the rows of one digest are dealt.
+SALTS = 16
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -33,24 +35,33 @@ def _keyed(source: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def run_stream(spark: SparkSession, path: str, schema, id_col: str, text_col: str, checkpoint: str, target: str, batch: dict | None = None) -> None:
-    """Absorb what is new at ``path`` into the state at ``checkpoint``; changed states go to ``target`` by batch.
+def run_stream(spark: SparkSession, path: str, schema, id_col: str, text_col: str, work: str, batch: dict | None = None) -> None:
+    """Absorb what is new at ``path`` into the state in ``work``.
 
-    A call continues where the last one with the same ``checkpoint`` ended. A micro-batch that is repeated after a
-    failure overwrites its own folder, so ``target`` never holds a state twice.
+    Two queries run one after the other: the first adds digest, identifier and locator of each new row to
+    ``work/rows``, so texts are read once; the second is stateful, and its changed states go to ``work/states`` by
+    batch. A call continues where the last one with the same ``work`` ended. A micro-batch that is repeated after a
+    failure replaces its own output, so nothing is held twice.
     """
     before = {k: spark.conf.get(k, None) for k in _ROCKSDB}
     for k, v in _ROCKSDB.items():
         spark.conf.set(k, v)
+    options = batch or {"maxBytesPerTrigger": BATCH_BYTES}
     try:
         # As a pattern, the path may also be a single file.
-        stream = _keyed(spark.readStream.schema(schema).options(**(batch or {"maxBytesPerTrigger": BATCH_BYTES})).parquet(f"{path[:-1]}[{path[-1]}]"), id_col, text_col)
+        texts = spark.readStream.schema(schema).options(**options).parquet(f"{path[:-1]}[{path[-1]}]")
+        keyed = _keyed(texts, id_col, text_col)
+        query = keyed.writeStream.format("parquet").option("path", f"{work}/rows").option("checkpointLocation", f"{work}/rows-checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if not _exists(spark, f"{work}/rows"):
+            return
+        stream = spark.readStream.schema(keyed.schema).options(**options).parquet(f"{work}/rows")
         states = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "locator")).alias("kept"))
         query = (
             states.writeStream.outputMode("update")
-            .option("checkpointLocation", checkpoint)
+            .option("checkpointLocation", f"{work}/checkpoint")
             .trigger(availableNow=True)
-            .foreachBatch(lambda part, number: part.write.mode("overwrite").parquet(f"{target}/batch={number}"))
+            .foreachBatch(lambda part, number: part.write.mode("overwrite").parquet(f"{work}/states/batch={number}"))
             .start()
         )
         query.awaitTermination()
@@ -59,9 +70,9 @@ def run_stream(spark: SparkSession, path: str, schema, id_col: str, text_col: st
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def states(spark: SparkSession, target: str) -> DataFrame:
+def states(spark: SparkSession, work: str) -> DataFrame:
     """The last state of every digest: ``digest``, ``n``, ``kept``; its count only grows."""
-    return spark.read.parquet(target).groupBy("digest").agg(F.max(F.struct("n", "kept")).alias("s")).select("digest", "s.n", "s.kept")
+    return spark.read.parquet(f"{work}/states").groupBy("digest").agg(F.max(F.struct("n", "kept")).alias("s")).select("digest", "s.n", "s.kept")
 
 
 def verdicts(spark: SparkSession, path: str, schema, id_col: str = "doc_id", text_col: str = "text", batch: dict | None = None, work: str | None = None) -> DataFrame:
@@ -71,30 +82,36 @@ def verdicts(spark: SparkSession, path: str, schema, id_col: str = "doc_id", tex
     counting as the smallest; of rows with the same id the one with the largest locator.
     """
     work = work or work_path(spark, "dedup")
-    target = f"{work}/states"
-    run_stream(spark, path, schema, id_col, text_col, f"{work}/checkpoint", target, batch)
-    if not _exists(spark, target):
+    run_stream(spark, path, schema, id_col, text_col, work, batch)
+    if not _exists(spark, f"{work}/states"):
         rows = _keyed(spark.read.schema(schema).parquet(path), id_col, text_col)
         return rows.select("id", "locator", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    final = states(spark, target)
-    rows = _keyed(spark.read.schema(schema).parquet(path), id_col, text_col)
-    joined = rows.join(final, "digest")
+    shared = states(spark, work).filter("n > 1")
+    joined = join_salted(spark.read.parquet(f"{work}/rows"), shared, ["digest"], SALTS)
     # Hits: rows whose digest another row has. Their bytes are read again and held against those at the locator.
-    shared = final.filter("n > 1")
-    texts = spark.read.schema(schema).parquet(path).select(lower_ascii(F.col(text_col)).alias("body"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))
-    hits = texts.withColumn("digest", F.unhex(F.sha2("body", 256))).join(shared, "digest")
-    originals = hits.filter(F.col("locator") == F.col("kept.locator")).select("digest", F.col("body").alias("original"))
-    differ = hits.select("digest", "body", "locator").join(originals, "digest").filter(F.col("body") != F.col("original")).select("digest", "locator", "body")
-    clashes = differ.limit(1).count()
-    if clashes:  # two texts with one digest: such digests are grouped by their bytes instead
+    wanted = materialize(joined.filter("n > 1").select("locator", "digest", (F.col("locator") == F.col("kept.locator")).alias("first")), "hits")
+    texts = spark.read.schema(schema).parquet(path).select(F.col(text_col).alias("text"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))
+    texts = maybe_in(texts, [F.col("locator.file"), F.col("locator.row")], wanted, [F.col("locator.file"), F.col("locator.row")])
+    hits = texts.join(wanted, "locator").select("locator", "digest", "first", lower_ascii(F.col("text")).alias("body"))
+    originals = hits.filter("first").select("digest", F.col("body").alias("original"))
+    differ = join_salted(hits.filter("not first"), originals, ["digest"], SALTS).filter(F.col("body") != F.col("original")).select("digest").distinct()
+    differ = materialize(differ, "clashes")
+    if not differ.isEmpty():  # two texts with one digest: such digests are grouped by their bytes instead
         joined = _by_bytes(joined, hits, differ)
-    return joined.select("id", "locator", "digest", F.col("kept.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("kept.locator")).alias("kept"))
+    alone = F.col("n").isNull()
+    return joined.select(
+        "id",
+        "locator",
+        "digest",
+        F.when(alone, F.col("id")).otherwise(F.col("kept.id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("locator") == F.col("kept.locator"))).alias("kept"),
+    )
 
 
-def _by_bytes(joined: DataFrame, hits: DataFrame, differ: DataFrame) -> DataFrame:
-    """``joined`` with the groups of the digests in ``differ`` formed by whole bytes."""
-    clashing = differ.select("digest").distinct()
-    rows = hits.join(clashing, "digest", "left_semi").select("digest", "body", F.col("locator").alias("locator"))
+def _by_bytes(joined: DataFrame, hits: DataFrame, clashing: DataFrame) -> DataFrame:
+    """``joined`` with the groups of the ``clashing`` digests formed by whole bytes."""
+    rows = hits.join(clashing, "digest", "left_semi").select("digest", "body", "locator")
     ids = joined.join(clashing, "digest", "left_semi").select("digest", "locator", "id")
     full = rows.join(ids, ["digest", "locator"])
     groups = full.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "locator")).alias("kept"))
@@ -125,9 +142,11 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     documents.write.parquet(path)
     rows = spark.read.schema(documents.schema).parquet(path)
     gone = verdicts(spark, path, rows.select(id_col, text_col).schema, id_col, text_col).filter(~F.col("kept")).select("locator")
-    name = fresh_name(documents.columns, "_locator")
+    name, other = fresh_name(documents.columns, "_locator"), fresh_name(documents.columns, "_gone")
+    gone = materialize(gone.withColumnRenamed("locator", other), "gone")
     at: Column = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return rows.withColumn(name, at).join(gone.withColumnRenamed("locator", name), name, "left_anti").drop(name)
+    key = lambda c: [F.col(f"{c}.file"), F.col(f"{c}.row")]
+    return without(rows.withColumn(name, at), key(name), gone, key(other), F.col(name) == F.col(other)).drop(name)
 
 
 ORACLE_SQL = """

@@ -41,11 +41,11 @@ def test_many_micro_batches(spark, tmp_path):
 def test_state_lives_on(spark, tmp_path):
     path = table(spark, tmp_path / "t", [(1, "a"), (2, "b")], 1)
     schema = spark.read.parquet(path).schema
-    go = lambda: run_stream(spark, path, schema, "doc_id", "text", str(tmp_path / "c"), str(tmp_path / "s"))
+    go = lambda: run_stream(spark, path, schema, "doc_id", "text", str(tmp_path / "w"))
     go()
     spark.createDataFrame([(3, "A", "")], "doc_id long, text string, digest string").write.mode("append").parquet(path)
     go()
-    assert sorted((r.n, r.kept.id) for r in states(spark, str(tmp_path / "s")).collect()) == [(1, 2), (2, 3)]
+    assert sorted((r.n, r.kept.id) for r in states(spark, str(tmp_path / "w")).collect()) == [(1, 2), (2, 3)]
 
 
 def test_bytes_are_checked(spark, tmp_path, monkeypatch):
