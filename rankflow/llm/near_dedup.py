@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import materialize, prepare
+from rankflow.llm.common import fresh_name, materialize, maybe_in, prepare, without
 
 WORDS, BANDS, ROWS = 5, 32, 6
 #: Links need 100 * intersection >= THRESHOLD * union.
@@ -203,14 +203,15 @@ def _blocks(buckets: DataFrame, sets: DataFrame, rows: int, threshold: int, bloc
         for found in _grouped(batches, ("group", "band", "cid", "component", "size", "sketch", "low", "high")):
             group, band, cid, component, size, sketch, low, high = zip(*found)
             cid, sketches = np.array(cid), np.frombuffer(b"".join(sketch), np.uint8).reshape(len(found), -1)
-            pairs = candidates(sketches, np.array(size), np.array(component), band[0], np.flatnonzero(low), np.flatnonzero(high), rows, threshold)
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([group[0]] * len(pairs)), pa.array(cid[[i for i, _ in pairs]]), pa.array([cid[j] for _, j in pairs], pa.list_(pa.int64()))], names=["group", "cid", "others"])
+            pairs = dict(candidates(sketches, np.array(size), np.array(component), band[0], np.flatnonzero(low), np.flatnonzero(high), rows, threshold))
+            if pairs:  # a row for every document that has a pair here, on whichever side
+                some = sorted({*pairs, *np.unique(np.concatenate(list(pairs.values()))).tolist()})
+                others = [cid[pairs[i]] if i in pairs else cid[:0] for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array([group[0]] * len(some)), pa.array(cid[some]), pa.array(others, pa.list_(pa.int64()))], names=["group", "cid", "others"])
 
     found = materialize(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "group string, cid bigint, others array<bigint>"), "candidates")
-    needed = found.select("group", "cid").unionByName(found.select("group", F.explode("others").alias("cid")).distinct()).distinct()
-    bodies = needed.join(sets, "cid").select("group", F.lit(0).alias("turn"), "cid", "hashes", F.lit(None).cast("array<bigint>").alias("others"))
-    asked = found.select("group", F.lit(1).alias("turn"), "cid", F.lit(None).cast("binary").alias("hashes"), "others")
+    bodies = found.select("group", "cid").join(sets, "cid").select("group", F.lit(0).alias("turn"), "cid", "hashes", F.lit(None).cast("array<bigint>").alias("others"))
+    asked = found.filter(F.size("others") > 0).select("group", F.lit(1).alias("turn"), "cid", F.lit(None).cast("binary").alias("hashes"), "others")
 
     def confirm(batches):
         for found in _grouped(batches, ("group", "turn", "cid", "hashes", "others")):
@@ -251,7 +252,6 @@ def _judged(documents: DataFrame, id_col: str, text_col: str, words: int = WORDS
     """What ``near_duplicates`` returns, with ``text_id``, the digest of each row's text."""
     prepare(documents.sparkSession)
     source = documents.select(documents[id_col].alias("doc_id"), F.coalesce(documents[text_col], F.lit("")).alias("body"))
-    source = source.select("doc_id", F.unhex(F.md5("body")).alias("text_id"), "body")
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def read(batches):
@@ -266,7 +266,8 @@ def _judged(documents: DataFrame, id_col: str, text_col: str, words: int = WORDS
                 sketches.append(None if sign is None else sign.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "text_id", "n_shingles", "set_id", "keys", "sketch"])
 
-    read_rows = materialize(source.mapInArrow(read, f"doc_id {kind}, text_id binary, n_shingles bigint, set_id binary, keys array<bigint>, sketch binary"), "shingled")
+    with_digest = lambda df: df.select("doc_id", F.unhex(F.md5("body")).alias("text_id"), "body")
+    read_rows = materialize(with_digest(source).mapInArrow(read, f"doc_id {kind}, text_id binary, n_shingles bigint, set_id binary, keys array<bigint>, sketch binary"), "shingled")
     # Documents with equal sets are one class, for which one text stands.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
     classes = read_rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min(rank).alias("first"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
@@ -277,8 +278,9 @@ def _judged(documents: DataFrame, id_col: str, text_col: str, words: int = WORDS
     buckets = materialize(entries.join(shared, ["band", "key"]), "buckets")
     stars = materialize(buckets.filter("cid <> center").select("center", "cid").distinct(), "stars")
 
-    wanted = classes.join(buckets.select("cid").distinct(), "cid").select("cid", "text_id", F.col("doc_id").alias("_id"))
-    texts = source.join(wanted, "text_id").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("cid", "body")
+    wanted = materialize(classes.join(buckets.select("cid").distinct(), "cid").select("cid", "text_id", F.col("doc_id").alias("_id")), "wanted")
+    name = lambda c: [F.coalesce(F.col(c).cast("string"), F.lit(""))]
+    texts = with_digest(maybe_in(source, name("doc_id"), wanted, name("_id"))).join(wanted, "text_id").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("cid", "body")
 
     def collect_sets(batches):
         for batch in batches:
@@ -304,6 +306,10 @@ def _judged(documents: DataFrame, id_col: str, text_col: str, words: int = WORDS
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` that ``near_duplicates`` keeps, with all their columns."""
     lost = _judged(documents, id_col, text_col).filter(~F.col("kept")).select("doc_id", "text_id").distinct()
-    lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("text_id").alias("_lost_text"))
-    text = F.unhex(F.md5(F.coalesce(documents[text_col], F.lit(""))))
-    return documents.join(lost, documents[id_col].eqNullSafe(lost["_lost_id"]) & (text == lost["_lost_text"]), "left_anti")
+    ids, texts = fresh_name(documents.columns, "_lost_id"), fresh_name(documents.columns, "_lost_text")
+    lost = lost.select(F.col("doc_id").alias(ids), F.col("text_id").alias(texts))
+    lost = materialize(lost, "lost")
+    name = lambda c: [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))]
+    text = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(ids)) & (text == F.col(texts))
+    return without(documents, name(id_col), lost, name(ids), same)
