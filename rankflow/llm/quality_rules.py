@@ -11,8 +11,9 @@ import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from rankflow.llm.common import fresh_name, materialize, prepare
+from rankflow.llm.common import join_salted, materialize, prepare, without
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -86,6 +87,10 @@ def host_rates(measures: DataFrame, host: str) -> DataFrame:
     return shrunk.select(host, "documents", *(f"failed_{k}" for k in names), *((F.col(f"failed_{k}") + F.col(f"mean_{k}") * F.col(f"weight_{k}")).__truediv__(F.col("documents") + F.col(f"weight_{k}")).alias(f"rate_{k}") for k in names))
 
 
+def rejected_hosts(measures: DataFrame, host: str, host_limit: float = HOST_LIMIT) -> DataFrame:
+    return host_rates(measures, host).filter(F.greatest(*(F.col(f"rate_{k}") for k in rules())) > host_limit).select(host)
+
+
 def judge(documents: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", host_limit: float = HOST_LIMIT) -> DataFrame:
     """Measures and verdicts, one row per row of ``documents``.
 
@@ -98,22 +103,32 @@ def judge(documents: DataFrame, id_col: str = "doc_id", host_col: str = "source"
 
 def verdicts(measures: DataFrame, host: str, host_limit: float = HOST_LIMIT) -> DataFrame:
     """``measures`` with ``base_failed``, ``host_rejected`` and ``kept``."""
-    failing = [k for k in rules()]
-    bad = host_rates(measures, host).filter(F.greatest(*(F.col(f"rate_{k}") for k in failing)) > host_limit).select(F.col(host).alias("_host"), F.lit(True).alias("_bad"))
+    bad = rejected_hosts(measures, host, host_limit).withColumn("_bad", F.lit(True))
     base = rules()["few_words"] | rules()["repeats"]
-    joined = measures.join(bad, measures[host] == bad["_host"], "left")
+    joined = join_salted(measures, bad, [host])
     return joined.select(*measures.columns, base.alias("base_failed"), F.coalesce("_bad", F.lit(False)).alias("host_rejected")).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def keep_good(documents: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that ``judge`` keeps, with all their columns."""
-    texts = documents[text_col]
-    measures = materialize(measured(documents.select(F.sha2(F.coalesce(texts, F.lit("")), 256).alias("_key"), documents[host_col].alias("_host_of"), texts.alias("_body")), [F.col("_key"), F.col("_host_of")], "_body"), "measures")
-    lost = verdicts(measures, "_host_of").filter(~F.col("kept")).select("_key", "_host_of").distinct()
-    key, host = fresh_name(documents.columns, "_key"), documents[host_col]
-    lost = lost.select(F.col("_key").alias(f"{key}1"), F.col("_host_of").alias(f"{key}2"))
-    same = (F.sha2(F.coalesce(texts, F.lit("")), 256) == lost[f"{key}1"]) & host.eqNullSafe(lost[f"{key}2"])
-    return documents.join(lost, same, "left_anti")
+    """The rows of ``documents`` that ``judge`` keeps, with all their columns.
+
+    Rows are written once with their measures; the rows of rejected hosts are then left out.
+    """
+    prepare(documents.sparkSession)
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document"))
+    schema = StructType([whole.schema["document"], *(StructField(m, LongType()) for m in MEASURES)])
+    text = documents.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(0)
+            found = np.array([measure(t.as_py() or "") for t in rows.field(text)], dtype=np.int64).reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([rows, *(pa.array(found[:, i]) for i in range(len(MEASURES)))], names=schema.names)
+
+    rows = materialize(whole.mapInArrow(run, schema), "measured").withColumn("host", F.col(f"document.`{host_col}`"))
+    bad = materialize(rejected_hosts(rows.select("host", *MEASURES), "host").withColumnRenamed("host", "bad"), "hosts")
+    passing = rows.filter(~(rules()["few_words"] | rules()["repeats"]))
+    return without(passing, [F.col("host")], bad, [F.col("bad")], F.col("host") == F.col("bad")).select("document.*")
 
 
 ORACLE_SQL = r"""
