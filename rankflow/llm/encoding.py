@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import unicodedata
 from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 
@@ -164,6 +165,13 @@ def _byte_alphabet() -> dict[str, int]:
     return table
 
 
+def _plain_words() -> re.Pattern:
+    """Pre-token pattern of word BPE with its character classes spelled out, for plain Latin script in lower case."""
+    plain = {c for k in (*range(0x20, 0x7F), *range(0xA1, 0x250)) for c in chr(k).lower()}
+    letters, digits = (re.escape("".join(sorted(c for c in plain if unicodedata.category(c)[0] == kind))) for kind in "LN")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\s{letters}{digits}]+")
+
+
 class WordEncoder:
     """Encoder for a BPE file that drops white space and ends words; the ids of its parts are cached.
 
@@ -176,7 +184,6 @@ class WordEncoder:
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         import json
 
-        import regex
         import tiktoken
 
         self.tokenizer, self.cache_entries = load(path), cache_entries
@@ -194,7 +201,7 @@ class WordEncoder:
             if ranks.setdefault(raw(left + right), k) == k:
                 self.to_id[k] = model["vocab"][left + right]
         self.core = tiktoken.Encoding("ends", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.split = _plain_words()
 
     def _merge(self, part: str) -> tuple[int, ...]:
         return tuple(map(self.to_id.__getitem__, self.core.encode_single_piece(part.encode() + self.END)))

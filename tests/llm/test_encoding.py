@@ -68,3 +68,10 @@ def test_rows(spark):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert encode_decode(docs.limit(0), BYTE).count() == 0
+
+
+def test_every_plain_character(word):
+    """Alone, doubled, between letters and after digits, each character of the plain range encodes as in the library."""
+    for k in (*range(0x20, 0x7F), *range(0xA1, 0x250)):
+        text = f"{chr(k)} {chr(k)}{chr(k)} a{chr(k)}b 1{chr(k)}2 '{chr(k)}"
+        assert list(word.encode(text)) == word.tokenizer.encode(text, add_special_tokens=False).ids, hex(k)
