@@ -85,16 +85,34 @@ def join_salted(rows: DataFrame, lookup: DataFrame, on: list[str], salts: int =
     return dealt.join(copies, [*on, salt], "left").drop(salt)
 
 
+def _bit(rows: DataFrame, on: list[Column], members: DataFrame, member_on: list[Column], bits: int, how: str) -> tuple[DataFrame, Column, list[str]]:
+    """``rows`` joined with a bitmap of the members' keys, whether a row's bit is set, and the columns that were added."""
+    slot = lambda key: F.pmod(F.xxhash64(*key), F.lit(bits)) + 1
+    number, bitmap, at = added = [fresh_name(rows.columns, n) for n in ("_number", "_bitmap", "_at")]
+    slots = members.select(slot(member_on).alias(at)).select(F.bitmap_bucket_number(at).alias(number), F.bitmap_bit_position(at).alias(at))
+    # Slots are dealt out, not partial bitmaps, of which every task would have as many as there are pieces.
+    maps = slots.repartition(number).groupBy(number).agg(F.bitmap_construct_agg(at).alias(bitmap))
+    found = rows.withColumn(at, slot(on)).withColumn(number, F.bitmap_bucket_number(at)).withColumn(at, F.bitmap_bit_position(at))
+    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, int({at} div 8) + 1, 1)")), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr(f"shiftleft(1, int({at} % 8))")) != 0
+    return found.join(F.broadcast(maps), number, how), is_set, added
+
+
 def maybe_in(rows: DataFrame, on: list[Column], members: DataFrame, member_on: list[Column], bits: int = 1 << 26) -> DataFrame:
     """``rows`` without most of those whose key no row of ``members`` has; none that has one is lost.
 
     A bitmap of ``bits`` slots (8 MB at most, however many members) is broadcast, so wide rows that a later join would
     drop are not shuffled for it. Of many members it lets more through.
     """
-    slot = lambda key: F.pmod(F.xxhash64(*key), F.lit(bits)) + 1
-    number, bitmap, at = (fresh_name(rows.columns, n) for n in ("_number", "_bitmap", "_at"))
-    one = slot(member_on)
-    maps = members.groupBy(F.bitmap_bucket_number(one).alias(number)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias(bitmap))
-    found = rows.withColumn(at, slot(on)).withColumn(number, F.bitmap_bucket_number(at)).withColumn(at, F.bitmap_bit_position(at))
-    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, int({at} div 8) + 1, 1)")), 16, 10).cast("int")
-    return found.join(F.broadcast(maps), number).filter(byte.bitwiseAND(F.expr(f"shiftleft(1, int({at} % 8))")) != 0).drop(number, bitmap, at)
+    found, is_set, added = _bit(rows, on, members, member_on, bits, "inner")
+    return found.filter(is_set).drop(*added)
+
+
+def without(rows: DataFrame, on: list[Column], members: DataFrame, member_on: list[Column], same: Column, bits: int = 1 << 26) -> DataFrame:
+    """``rows`` that no row of ``members`` matches by ``same``, which implies equal keys ``on`` and ``member_on``.
+
+    Rows that the bitmap rules out stay where they are; only the others are shuffled for the anti join.
+    """
+    found, is_set, added = _bit(rows, on, members, member_on, bits, "left")
+    is_set = F.coalesce(is_set, F.lit(False))
+    return found.filter(~is_set).drop(*added).unionByName(found.filter(is_set).drop(*added).join(members, same, "left_anti"))
