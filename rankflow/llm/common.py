@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROWS_PER_BATCH = 512
+#: Work tables that this process has begun, in order.
+_WORK: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -41,7 +44,9 @@ def work_path(spark: SparkSession, name: str) -> str:
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "rankflow")
         spark.conf.set("spark.rankflow.work", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WORK.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,13 +56,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete work tables that no later plan reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for frame in frames:
-        for file in frame.inputFiles()[:1]:
-            folder = hadoop(file).getParent()
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+@contextmanager
+def tracked(paths: list[str]):
+    """Add the work tables that are begun within to ``paths``."""
+    before = len(_WORK)
+    try:
+        yield
+    finally:
+        paths.extend(_WORK[before:])
+
+
+def release(spark: SparkSession, paths: list[str], *kept: DataFrame) -> None:
+    """Delete the work tables at ``paths`` but those that ``kept`` read, and forget them: for when their results are written."""
+    read = [file for frame in kept for file in frame.inputFiles()]
+    configuration, of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in list(paths):
+        if not any(path.rsplit("/", 1)[-1] in file for file in read):
+            of(path).getFileSystem(configuration).delete(of(path), True)
+            paths.remove(path)
 
 
 def lower_ascii(text: Column) -> Column:

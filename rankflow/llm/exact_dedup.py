@@ -135,11 +135,15 @@ def dedup_table(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that stay, with all their columns; the rows are first written as the stream's source."""
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", written: str | None = None) -> DataFrame:
+    """The rows of ``documents`` that stay, with all their columns.
+
+    They are first written as the stream's source, unless they are the whole Parquet table at ``written``.
+    """
     spark = prepare(documents.sparkSession)
-    path = work_path(spark, "dedup-rows")
-    documents.write.parquet(path)
+    path = written or work_path(spark, "dedup-rows")
+    if not written:
+        documents.write.parquet(path)
     rows = spark.read.schema(documents.schema).parquet(path)
     gone = verdicts(spark, path, rows.select(id_col, text_col).schema, id_col, text_col).filter(~F.col("kept")).select("locator")
     name, other = fresh_name(documents.columns, "_locator"), fresh_name(documents.columns, "_gone")
@@ -149,6 +153,15 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return without(rows.withColumn(name, at), key(name), gone, key(other), F.col(name) == F.col(other)).drop(name)
 
 
+def whole_table(documents: DataFrame) -> str | None:
+    """Where the Parquet table is that ``documents`` are read from; None if that is not one file or one flat folder."""
+    files = documents.inputFiles()
+    if any("%" in file for file in files):  # an escaped name
+        return None
+    folders = {file.rsplit("/", 1)[0] for file in files}
+    return files[0] if len(files) == 1 else folders.pop() if len(folders) == 1 else None
+
+
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY body)

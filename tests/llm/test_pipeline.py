@@ -64,5 +64,5 @@ def test_stages_keep_the_columns(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns and docs.count() == 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
