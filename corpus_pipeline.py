@@ -1,39 +1,61 @@
 """A training corpus from raw documents: quality rules, exact and near duplicates, secrets, packing.
 
-Each stage takes what the one before kept, in the columns of ``documents``; the last returns the packed pieces.
+Each stage takes what the one before kept, in the columns of ``documents``, as a written table; the last returns the
+packed pieces. What a stage left in the shared folder is deleted when the next begins.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rankflow.llm import exact_dedup, near_dedup, packing, quality_rules, secrets
-from rankflow.llm.common import materialize, read_table
+from rankflow.llm.common import materialize, read_table, release, tracked
 
+#: Work tables of the stages so far, which the next stage deletes.
+_LEFT: list[str] = []
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def stage(function):
+    """A stage: first deletes what the stages before it left, whose results are written by then."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _LEFT, docs)
+        with tracked(_LEFT):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents and hosts that pass the quality rules."""
     return quality_rules.keep_good(docs)
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return exact_dedup.keep_one(docs)
+    """One document of each text; the stream reads the table that the stage before has written."""
+    return exact_dedup.keep_one(docs, written=exact_dedup.whole_table(docs))
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates."""
     return near_dedup.keep_first(docs)
 
 
+@stage
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked."""
     return secrets.mask(docs, VOCABULARY)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of packed sequences."""
     return packing.pack(docs, VOCABULARY)
@@ -47,8 +69,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each one's rows are written and read again as the next one's documents."""
     docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, name.replace(" ", "-"))
+            with tracked(_LEFT):
+                docs = materialize(docs, name.replace(" ", "-"))
+    _LEFT.clear()  # the result still reads what the last stage left
     return docs
