@@ -21,6 +21,7 @@ _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores would reserve megabytes each
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
     "spark.sql.streaming.metricsEnabled": "false",
 }
