@@ -97,22 +97,30 @@ def _signed(value: int) -> int:
 def occurrences(text: bytes, length: int, gram: int) -> tuple[list, list]:
     """Contexts of one text, each different one once, and the windows that repeat within the text by whole contexts.
 
-    First list: ``(key, digest, first window, windows, anchor, weight)``; weight is 2 if the text has it again.
+    First list: ``(key, digest, first window, windows, anchor, weight)``; weight is 2 if the text has it again. The
+    windows of such a context repeat at its first occurrence too, whatever other texts hold.
     """
     seen: dict[tuple[int, int], list] = {}
+    first: list[list[int]] = []
     again: list[list[int]] = []
+
+    def add(runs, lo, n):
+        if runs and runs[-1][1] == lo:
+            runs[-1][1] = lo + n
+        else:
+            runs.append([lo, lo + n])
+
     for lo, n, anchor, key in contexts(text, length, gram):
         digest = _signed(xxhash.xxh3_64_intdigest(text[lo : lo + n - 1 + length], anchor - lo))
         known = seen.get((key, digest))
         if known is None:
             seen[key, digest] = [key, digest, lo, n, anchor, 1]
         else:
+            if known[5] == 1:
+                add(first, known[2], known[3])
             known[5] = 2
-            if again and again[-1][1] == lo:
-                again[-1][1] = lo + n
-            else:
-                again.append([lo, lo + n])
-    return list(seen.values()), again
+            add(again, lo, n)
+    return list(seen.values()), first + again
 
 
 def slices(text: bytes, lo: int, n: int, anchor: int, length: int, gram: int, width: int) -> list[tuple[int, int, int, int, int]]:

@@ -101,3 +101,19 @@ def test_default_length_and_empty(spark):
     got = sorted(find_repeats(frame).collect(), key=lambda r: r.doc_id)
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute(texts, 400)
     assert find_repeats(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [2000, 1])
+def test_passage_twice_in_one_text_and_an_edited_copy(spark, most):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(4):
+        passage = words(rng, 120)
+        edited = passage[:200] + "#" + passage[201:]
+        texts.append(" ".join([words(rng, 20), passage, words(rng, 20), passage, words(rng, 20)]))
+        texts.append(" ".join([words(rng, 20), edited, words(rng, 20)]))
+        passage = words(rng, 120)  # here the text itself holds the edited copy
+        texts.append(" ".join([words(rng, 20), passage, words(rng, 20), passage, words(rng, 20), passage[:200] + "#" + passage[201:]]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(find_repeats(frame, length=100, gram=24, width=8, most_members=most).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute(texts, 100)
