@@ -26,7 +26,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Wider credential context, with the value that follows; quoted values may hold spaces.
 _CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|(?:api|access|private|client|secret|encryption|signing|account)[_\-\x20]?key)(?![a-z])"
-    r"[\"']?\x20*(?:[:=]+>?|\bis\b)\x20*(?:\"([^\"\n]{6,256})\"|'([^'\n]{6,256})'|([^\s\"'<>,;]{6,}))",
+    r"[\"']?\x20*(?:[:=]+>?|\bis\b)\x20*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"'<>,;]{6,}))",
     re.I | re.A,
 )
 #: Values that cost at least this many log10 guesses are secrets.

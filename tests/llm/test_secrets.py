@@ -79,3 +79,13 @@ def test_rows(spark):
     clean = sorted(mask(frame, WORD, count_col="spans").collect(), key=lambda r: r.doc_id or 0)
     assert clean[0].text is None and clean[2].text == "[assign removed]" and clean[2].spans == 16
     assert scan(frame.limit(0), WORD).count() == 0
+
+
+@pytest.mark.parametrize("size", [256, 257, 300, 5000])
+@pytest.mark.parametrize("before,after", [('auth: "', '"'), ("private_key='", "'"), ('credentials = "', '"')])
+def test_long_quoted_values(size, before, after):
+    rng = random.Random(size)
+    value = "".join(rng.choice("GHJKLMNPQRSTUVWXYZ!$%&*()23456789 ") for _ in range(size))
+    text = f"first {before}{value}{after} last"
+    assert [(k, text[s:e]) for s, k, e in find(text, RANKS)] == [("guess", value)]
+    assert masked(text, RANKS) == f"first {before}[guess removed]{after} last"
