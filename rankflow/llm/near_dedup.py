@@ -93,11 +93,12 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return 100 * common >= threshold * (len(a) + len(b) - common)
 
 
-def candidates(sketches: np.ndarray, sizes: np.ndarray, components: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, rows: int, threshold: int) -> list[tuple[int, np.ndarray]]:
+def candidates(sketches: np.ndarray, keys: np.ndarray, sizes: np.ndarray, components: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, np.ndarray]]:
     """Pairs of one bucket that may be linked, as ``(position in left, positions in right)``.
 
-    Left out are pairs of one component, of sizes too far apart, that an earlier band holds too, or whose signatures
-    agree far less than linked documents' do (six standard deviations below the threshold).
+    Left out are pairs of one component, of sizes too far apart, that an earlier band holds too (by its ``keys``, as
+    sketches may agree by chance), or whose signatures agree far less than linked documents' do (six standard deviations
+    below the threshold).
     """
     coordinates = sketches.shape[1]
     share = threshold / 100
@@ -113,7 +114,7 @@ def candidates(sketches: np.ndarray, sizes: np.ndarray, components: np.ndarray,
         equal = sketches[right] == sketches[i]
         hit &= np.count_nonzero(equal, axis=1) >= least
         if hit.any():
-            first = equal[hit].reshape(int(hit.sum()), -1, rows).all(axis=2).argmax(axis=1)
+            first = (keys[right[hit]] == keys[i]).argmax(axis=1)
             chosen = right[hit][first == band]
             if len(chosen):
                 found.append((int(i), chosen))
@@ -185,25 +186,25 @@ def _stars(pairs: DataFrame, sets: DataFrame, threshold: int, salts: int = 64) -
     return together.repartition("center", "salt").sortWithinPartitions("center", "salt", "turn").mapInArrow(check, "a bigint, b bigint")
 
 
-def _blocks(buckets: DataFrame, sets: DataFrame, rows: int, threshold: int, block: int) -> DataFrame:
+def _blocks(buckets: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int, block: int) -> DataFrame:
     """The links between members of one bucket that are in different components.
 
-    Buckets are dealt out as pairs of blocks of about ``block`` members. A first pass compares signatures and names the
+    Buckets are dealt out as pairs of blocks of about ``block`` members; ``classes`` has their signatures. A first pass compares signatures and names the
     documents of each block pair that have candidates there; a second gets their sets and confirms. Only links leave.
     """
     counts = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi")
     active = buckets.join(counts.select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["band", "key"])
-    active = active.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    active = active.join(classes.select("cid", "size", "sketch", "keys"), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = active.withColumn("other", other).select(
-        F.concat_ws(":", "band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "band", "cid", "component", "size", "sketch", (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high")
+        F.concat_ws(":", "band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "band", "cid", "component", "size", "sketch", "keys", (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high")
     )
 
     def compare(batches):
-        for found in _grouped(batches, ("group", "band", "cid", "component", "size", "sketch", "low", "high")):
-            group, band, cid, component, size, sketch, low, high = zip(*found)
+        for found in _grouped(batches, ("group", "band", "cid", "component", "size", "sketch", "keys", "low", "high")):
+            group, band, cid, component, size, sketch, keys, low, high = zip(*found)
             cid, sketches = np.array(cid), np.frombuffer(b"".join(sketch), np.uint8).reshape(len(found), -1)
-            pairs = dict(candidates(sketches, np.array(size), np.array(component), band[0], np.flatnonzero(low), np.flatnonzero(high), rows, threshold))
+            pairs = dict(candidates(sketches, np.array(keys), np.array(size), np.array(component), band[0], np.flatnonzero(low), np.flatnonzero(high), threshold))
             if pairs:  # a row for every document that has a pair here, on whichever side
                 some = sorted({*pairs, *np.unique(np.concatenate(list(pairs.values()))).tolist()})
                 others = [cid[pairs[i]] if i in pairs else cid[:0] for i in some]
@@ -290,8 +291,7 @@ def _judged(documents: DataFrame, id_col: str, text_col: str, words: int = WORDS
     links = materialize(_stars(stars, sets, threshold), "links")
     parts = components(links)
     marked = buckets.drop("center").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    marked = materialize(marked.join(classes.select("cid", "size", "sketch"), "cid"), "marked")
-    more = materialize(_blocks(marked, sets, rows, threshold, block), "links")
+    more = materialize(_blocks(materialize(marked, "marked"), classes, sets, threshold, block), "links")
     parts = components(links.unionByName(more))
 
     member = classes.select("cid", "set_id", "doc_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

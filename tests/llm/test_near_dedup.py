@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from rankflow.llm.near_dedup import components, keep_first, linked, near_duplicates, shingles, signature
+from rankflow.llm.near_dedup import band_keys, candidates, components, keep_first, linked, near_duplicates, shingles, signature
 
 
 def words_of(text):
@@ -94,3 +94,23 @@ def test_keep_first_and_empty(spark):
     kept = keep_first(frame)
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     assert near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_sketches_that_agree_by_chance_lose_no_pair():
+    """Linked pairs whose first band of equal sketches is not one of equal keys are found once, in their first bucket."""
+    rng, chance = np.random.default_rng(17), 0
+    for _ in range(3000):
+        pool = np.unique(rng.integers(0, 2**64, 100, dtype=np.uint64))
+        pair = pool[:92], pool[8:]
+        signs = [signature(s, 192) for s in pair]
+        keys = np.array([band_keys(s, 32, 6) for s in signs])
+        shared = np.flatnonzero(keys[0] == keys[1]).tolist()
+        sketches = np.array([s.astype(np.uint8) for s in signs])
+        alike = np.flatnonzero((sketches[0] == sketches[1]).reshape(32, 6).all(axis=1)).tolist()
+        if not shared or alike[0] == shared[0]:
+            continue
+        chance += 1
+        both = np.arange(2)
+        found = [b for b in shared if candidates(sketches, keys, np.array([92, 92]), both, b, both, both, 80)]
+        assert found == shared[:1]
+    assert chance
