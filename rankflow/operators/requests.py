@@ -58,10 +58,19 @@ def recent_groups(rows: DataFrame, days: int, positives_only: bool = True) -> Da
 
 
 def whole_groups(rows: DataFrame, least: int) -> DataFrame:
-    """Whole requests in order until at least ``least`` rows are reached."""
+    """Whole requests in order until at least ``least`` rows are reached; ``request`` is an integer.
+
+    Rows are summed by 1,000 key ranges first, and only the ranges that begin before ``least`` rows are summed by request.
+    """
     sizes = rows.groupBy("request").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("request").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(sizes.withColumn("_before", before).filter(F.col("_before") < least).select("request"), "request", "left_semi")
+    ends = sizes.agg(F.min("request").alias("_least"), F.max("request").alias("_most"))
+    width = F.floor((F.col("_most") - F.col("_least")) / 1000) + 1
+    sizes = sizes.crossJoin(F.broadcast(ends)).withColumn("_range", F.floor((F.col("request") - F.col("_least")) / width)).select("request", "_n", "_range")  # one row
+    ranges = sizes.groupBy("_range").agg(F.sum("_n").alias("_rows"))
+    ranges = ranges.withColumn("_start", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+    begun = sizes.join(F.broadcast(ranges.filter(F.col("_start") < least).select("_range", "_start")), "_range")
+    before = F.col("_start") + F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy("request").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(begun.withColumn("_before", before).filter(F.col("_before") < least).select("request"), "request", "left_semi")
 
 
 def select_weeks(weeks: DataFrame, least_clicks: int, drop_first: int, drop_last: int, most: int) -> DataFrame:

@@ -107,7 +107,7 @@ def training_window(spark, sf_dir):
 )
 def group_truncation(spark, sf_dir):
     """The first requests that hold at least 1,000 rows, none of them cut."""
-    return R.whole_groups(impressions(spark, sf_dir).filter("request < 4000"), 1000).select("request", "item", "line")
+    return R.whole_groups(impressions(spark, sf_dir), 1000).select("request", "item", "line")
 
 
 @add(IMP, "SELECT CAST(request % 32 AS BIGINT) AS part, count(*) AS n, count(DISTINCT request) AS groups, count(DISTINCT CASE WHEN click > 0 THEN request END) AS positive, count(DISTINCT request) - count(DISTINCT CASE WHEN click > 0 THEN request END) AS missed FROM imp GROUP BY 1")
