@@ -2,9 +2,9 @@
 
 A shingle's hash is permuted once; every coordinate of the signature is the minimum, over the document's shingles, of
 one second permutation applied to that value after a circular shift by the coordinate's number. Documents that share a
-band are candidates. Candidates are compared on whole shingle sets, first as stars around one member of each bucket, so
-a bucket of any size costs as many comparisons as it has members; only members that the stars leave in different
-components are then compared pair by pair.
+band are candidates. Candidates that a bound from their histograms can't rule out are compared on the shingles of their
+texts, first as stars around one member of each bucket, so a bucket of any size costs as many comparisons as it has
+members; only members that the stars leave in different components are then compared pair by pair.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from rankflow.llm.common import fresh_name, materialize, maybe_in, prepare, with
 
 WORDS, BANDS, ROWS = 5, 32, 6
 #: Links need 100 * intersection >= THRESHOLD * union.
-THRESHOLD = 85
+THRESHOLD = 80
 #: Cells of a block of the signature that are computed together.
 CELLS = 1 << 17
 _U32, _U64 = np.uint32, np.uint64
@@ -82,27 +82,73 @@ def band_keys(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total.view(np.int64)
 
 
-def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
-    """Whether two sorted hash sets reach the threshold."""
-    small, large = sorted((len(a), len(b)))
+def needed(a: int, b: int, threshold: int) -> int:
+    """How many shingles sets of ``a`` and ``b`` members must share to be linked."""
+    return -(-threshold * (a + b) // (100 + threshold))
+
+
+def histogram(hashes: np.ndarray) -> bytes:
+    """How many members fall in each of ``2 ** k`` bins, two or three a bin or fewer; empty if a count passes 127.
+
+    Two sets share at most the sum of the lesser counts of each bin, so a pair that this bound rules out is not linked:
+    the filter loses nothing. Bins are low bits, so a histogram folds to half as many bins.
+    """
+    bins = 1 << max(6, (len(hashes) // 3).bit_length())
+    counts = np.bincount((hashes & _U64(bins - 1)).astype(np.int64), minlength=bins)
+    return b"" if counts.max(initial=0) > 127 else counts.astype(np.uint8).tobytes()
+
+
+def shared_at_most(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The bound for ``one`` histogram and each row of ``many`` with as many bins."""
+    return np.minimum(one, many).sum(axis=-1, dtype=np.int64)
+
+
+def may_link(a: bytes, b: bytes, size_a: int, size_b: int, threshold: int) -> bool:
+    """False only for sets that are surely not linked."""
+    small, large = sorted((size_a, size_b))
     if small * 100 < threshold * large:
         return False
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    bins = min(len(x), len(y))
+    x, y = (h.reshape(-1, bins).sum(axis=0, dtype=np.uint16) for h in (x, y))
+    return int(shared_at_most(x, y)) >= needed(size_a, size_b, threshold)
+
+
+def shingle_set(text: str, size: int = WORDS) -> set:
+    """The distinct word shingles themselves."""
+    words = text.encode().translate(_LOWER).split()
+    if len(words) < size:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[k:] for k in range(size))))
+
+
+def linked(a: set, b: set, threshold: int = THRESHOLD) -> bool:
+    """Whether two sets reach the threshold."""
+    small, large = sorted((a, b), key=len)
+    if len(small) * 100 < threshold * len(large):
+        return False
+    common = len(small & large)
     return 100 * common >= threshold * (len(a) + len(b) - common)
 
 
-def candidates(sketches: np.ndarray, keys: np.ndarray, sizes: np.ndarray, components: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, np.ndarray]]:
+def candidates(histograms: list[bytes], buckets: list[set], sizes: np.ndarray, components: np.ndarray, bucket: int, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, np.ndarray]]:
     """Pairs of one bucket that may be linked, as ``(position in left, positions in right)``.
 
-    Left out are pairs of one component, of sizes too far apart, that an earlier band holds too (by its ``keys``, as
-    sketches may agree by chance), or whose signatures agree far less than linked documents' do (six standard deviations
-    below the threshold).
+    Left out are pairs of one component, of sizes too far apart, that share too little by the bound of their histograms,
+    and pairs that are in a bucket of smaller key together: they are compared there.
     """
-    coordinates = sketches.shape[1]
-    share = threshold / 100
-    least = (share - 6 * (share * (1 - share) / coordinates) ** 0.5) * coordinates
+    bins = np.array([len(h) for h in histograms])
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(n):
+        """Rows with ``n`` bins or more in ``right``, and their histograms with ``n`` bins."""
+        if n not in folded:
+            rows = right[bins[right] >= n]
+            folded[n] = rows, np.array([np.frombuffer(histograms[j], np.uint8).reshape(-1, n).sum(axis=0, dtype=np.uint16) for j in rows], np.uint16).reshape(len(rows), n)
+        return folded[n]
+
     found, same_block = [], bool(len(left) and len(right) and np.isin(left[0], right))
     for i in left:
         small, large = np.minimum(sizes[right], sizes[i]), np.maximum(sizes[right], sizes[i])
@@ -111,13 +157,17 @@ def candidates(sketches: np.ndarray, keys: np.ndarray, sizes: np.ndarray, compon
             hit &= right > i
         if not hit.any():
             continue
-        equal = sketches[right] == sketches[i]
-        hit &= np.count_nonzero(equal, axis=1) >= least
-        if hit.any():
-            first = (keys[right[hit]] == keys[i]).argmax(axis=1)
-            chosen = right[hit][first == band]
-            if len(chosen):
-                found.append((int(i), chosen))
+        least = -(-threshold * (sizes[right] + sizes[i]) // (100 + threshold))
+        for n in np.unique(np.minimum(bins[right[hit]], bins[i])).tolist():
+            if n:  # a set without a histogram is compared with all
+                rows, counts = at(n)
+                own = np.frombuffer(histograms[i], np.uint8).reshape(-1, n).sum(axis=0, dtype=np.uint16)
+                here = hit & (np.minimum(bins[right], bins[i]) == n)
+                bound = shared_at_most(own, counts[here[bins[right] >= n]])
+                hit[here] = bound >= least[here]
+        chosen = np.array([j for j in right[hit] if min(buckets[i] & buckets[j]) == bucket], np.int64)
+        if len(chosen):
+            found.append((int(i), chosen))
     return found
 
 
@@ -164,17 +214,35 @@ def _links(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], schema=_LINK)
 
 
-def _stars(pairs: DataFrame, sets: DataFrame, threshold: int, salts: int = 64) -> DataFrame:
-    """The links among ``pairs (center, cid)``; a center's set goes once to each of its salts, a member's to one."""
+def _promising(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """The rows of ``pairs (center, cid)`` that the sizes and histograms of both don't rule out."""
+    heads = sketches.select(F.col("cid").alias("center"), F.col("size").alias("size_a"), F.col("histogram").alias("histogram_a"))
+
+    def check(batches):
+        for batch in batches:
+            keep = [may_link(a.as_py(), b.as_py(), m.as_py(), n.as_py(), threshold) for a, m, b, n in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("histogram_a", "size_a", "histogram", "size")))]
+            yield batch.select(["center", "cid"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(heads, "center").join(sketches, "cid").mapInArrow(check, "center bigint, cid bigint")
+
+
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``cid`` and ``body`` of the texts that ``ids (cid)`` name; few others come along."""
+    return maybe_in(texts.select("cid", "body"), [F.col("cid")], ids, [F.col("cid")])
+
+
+def _stars(pairs: DataFrame, texts: DataFrame, words: int, threshold: int, salts: int = 64) -> DataFrame:
+    """The links among ``pairs (center, cid)``; a center's text goes once to each of its salts, a member's to one."""
     salted = pairs.select("center", "cid", F.pmod(F.xxhash64("cid"), F.lit(salts)).alias("salt"))
-    members = salted.join(sets, "cid").select("center", "salt", F.lit(1).alias("turn"), "cid", "hashes")
-    heads = salted.select("center", "salt").distinct().join(sets.withColumnRenamed("cid", "center"), "center").select("center", "salt", F.lit(0).alias("turn"), F.col("center").alias("cid"), "hashes")
+    bodies = _only(texts, pairs.select("cid").unionByName(pairs.select(F.col("center").alias("cid"))))
+    members = salted.join(bodies, "cid").select("center", "salt", F.lit(1).alias("turn"), "cid", "body")
+    heads = salted.select("center", "salt").distinct().join(bodies.withColumnRenamed("cid", "center"), "center").select("center", "salt", F.lit(0).alias("turn"), F.col("center").alias("cid"), "body")
 
     def check(batches):
         for batch in batches:
             out = []
-            for center, turn, cid, hashes in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("center", "turn", "cid", "hashes"))):
-                found = np.frombuffer(hashes.as_buffer(), np.uint64)
+            for center, turn, cid, body in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("center", "turn", "cid", "body"))):
+                found = shingle_set(body.as_py(), words)
                 if turn.as_py() == 0:
                     check.at, check.head = center.as_py(), found
                 elif check.at == center.as_py() and linked(check.head, found, threshold):
@@ -186,37 +254,40 @@ def _stars(pairs: DataFrame, sets: DataFrame, threshold: int, salts: int = 64) -
     return together.repartition("center", "salt").sortWithinPartitions("center", "salt", "turn").mapInArrow(check, "a bigint, b bigint")
 
 
-def _blocks(buckets: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int, block: int) -> DataFrame:
+def _blocks(buckets: DataFrame, texts: DataFrame, words: int, threshold: int, block: int) -> DataFrame:
     """The links between members of one bucket that are in different components.
 
-    Buckets are dealt out as pairs of blocks of about ``block`` members; ``classes`` has their signatures. A first pass compares signatures and names the
-    documents of each block pair that have candidates there; a second gets their sets and confirms. Only links leave.
+    Buckets are dealt out as pairs of blocks of about ``block`` members. A first pass compares histograms and names the
+    documents of each block pair that have candidates there; a second gets their texts and confirms on the shingles.
+    Only links leave.
     """
-    counts = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi")
-    active = buckets.join(counts.select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["band", "key"])
-    active = active.join(classes.select("cid", "size", "sketch", "keys"), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    counts = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi")
+    active = buckets.join(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
+    sketches = maybe_in(texts.select("cid", "size", "histogram"), [F.col("cid")], active, [F.col("cid")])
+    of = active.groupBy("cid").agg(F.collect_list("key").alias("buckets")).join(sketches, "cid")
+    active = active.join(of, "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = active.withColumn("other", other).select(
-        F.concat_ws(":", "band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "band", "cid", "component", "size", "sketch", "keys", (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high")
+        F.concat_ws(":", "key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "key", "cid", "component", "size", "histogram", "buckets", (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high")
     )
 
     def compare(batches):
-        for found in _grouped(batches, ("group", "band", "cid", "component", "size", "sketch", "keys", "low", "high")):
-            group, band, cid, component, size, sketch, keys, low, high = zip(*found)
-            cid, sketches = np.array(cid), np.frombuffer(b"".join(sketch), np.uint8).reshape(len(found), -1)
-            pairs = dict(candidates(sketches, np.array(keys), np.array(size), np.array(component), band[0], np.flatnonzero(low), np.flatnonzero(high), threshold))
+        for found in _grouped(batches, ("group", "key", "cid", "component", "size", "histogram", "buckets", "low", "high")):
+            group, key, cid, component, size, histograms, of, low, high = zip(*found)
+            cid = np.array(cid)
+            pairs = dict(candidates(histograms, [set(b) for b in of], np.array(size), np.array(component), key[0], np.flatnonzero(low), np.flatnonzero(high), threshold))
             if pairs:  # a row for every document that has a pair here, on whichever side
                 some = sorted({*pairs, *np.unique(np.concatenate(list(pairs.values()))).tolist()})
                 others = [cid[pairs[i]] if i in pairs else cid[:0] for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array([group[0]] * len(some)), pa.array(cid[some]), pa.array(others, pa.list_(pa.int64()))], names=["group", "cid", "others"])
 
     found = materialize(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "group string, cid bigint, others array<bigint>"), "candidates")
-    bodies = found.select("group", "cid").join(sets, "cid").select("group", F.lit(0).alias("turn"), "cid", "hashes", F.lit(None).cast("array<bigint>").alias("others"))
-    asked = found.filter(F.size("others") > 0).select("group", F.lit(1).alias("turn"), "cid", F.lit(None).cast("binary").alias("hashes"), "others")
+    bodies = found.select("group", "cid").join(_only(texts, found), "cid").select("group", F.lit(0).alias("turn"), "cid", "body", F.lit(None).cast("array<bigint>").alias("others"))
+    asked = found.filter(F.size("others") > 0).select("group", F.lit(1).alias("turn"), "cid", F.lit(None).cast("string").alias("body"), "others")
 
     def confirm(batches):
-        for found in _grouped(batches, ("group", "turn", "cid", "hashes", "others")):
-            known = {cid: np.frombuffer(hashes, np.uint64) for _, turn, cid, hashes, _ in found if turn == 0}
+        for found in _grouped(batches, ("group", "turn", "cid", "body", "others")):
+            known = {cid: shingle_set(body, words) for _, turn, cid, body, _ in found if turn == 0}
             top = {c: c for c in known}
 
             def find(c):
@@ -257,55 +328,74 @@ def _judged(documents: DataFrame, id_col: str, text_col: str, words: int = WORDS
 
     def read(batches):
         for batch in batches:
-            sizes, ids, keys, sketches = [], [], [], []
+            sizes, ids, keys = [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py(), words)
                 sizes.append(len(found))
                 ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                sign = signature(found, bands * rows) if len(found) else None
-                keys.append(None if sign is None else band_keys(sign, bands, rows))
-                sketches.append(None if sign is None else sign.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "text_id", "n_shingles", "set_id", "keys", "sketch"])
+                keys.append(band_keys(signature(found, bands * rows), bands, rows) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_id", "n_shingles", "set_id", "keys"])
 
     with_digest = lambda df: df.select("doc_id", F.unhex(F.md5("body")).alias("text_id"), "body")
-    read_rows = materialize(with_digest(source).mapInArrow(read, f"doc_id {kind}, text_id binary, n_shingles bigint, set_id binary, keys array<bigint>, sketch binary"), "shingled")
-    # Documents with equal sets are one class, for which one text stands.
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
-    classes = read_rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min(rank).alias("first"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.text_id").alias("text_id"), "size", "keys", "sketch"), "classes")
-
-    entries = classes.select("cid", F.posexplode("keys").alias("band", "key"))
-    shared = entries.groupBy("band", "key").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    buckets = materialize(entries.join(shared, ["band", "key"]), "buckets")
-    stars = materialize(buckets.filter("cid <> center").select("center", "cid").distinct(), "stars")
-
-    wanted = materialize(classes.join(buckets.select("cid").distinct(), "cid").select("cid", "text_id", F.col("doc_id").alias("_id")), "wanted")
+    made = with_digest(source).mapInArrow(read, f"doc_id {kind}, text_id binary, n_shingles bigint, set_id binary, keys array<bigint>")
+    read_rows = materialize(made.withColumn("cid", F.monotonically_increasing_id()), "shingled")
+
+    # Of rows with equal sets the first stands for all; the others are known by it.
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "cid")
+    whole = read_rows.filter("n_shingles > 0")
+    repeated = whole.groupBy("set_id").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_id", F.col("first.cid").alias("head"))
+    repeated = materialize(repeated, "repeated")
+    set_id = [F.col("set_id")]
+    copies = maybe_in(whole.select("set_id", "cid"), set_id, repeated, set_id).join(repeated, "set_id").select("cid", "head")
+    copies = materialize(copies, "copies")
+    lower = copies.filter("cid <> head").select(F.col("cid").alias("_copy"))
+    classes = without(whole.select("cid", "keys"), [F.col("cid")], lower, [F.col("_copy")], F.col("cid") == F.col("_copy"))
+
+    # Few keys are found twice: those alone are counted first, and the others don't leave their tasks.
+    entries = classes.select("cid", F.explode("keys").alias("key"))
+    shared = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
+    met = materialize(maybe_in(entries, [F.col("key")], shared, [F.col("key")]), "met")
+    centers = met.groupBy("key").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    buckets = materialize(met.join(centers, "key"), "buckets")
+    in_buckets = buckets.select("cid").distinct()
+    cid = [F.col("cid")]
+    wanted = maybe_in(read_rows.select("cid", "text_id", F.col("doc_id").alias("_id")), cid, buckets, cid).join(in_buckets, "cid")
+    wanted = materialize(wanted, "wanted")
     name = lambda c: [F.coalesce(F.col(c).cast("string"), F.lit(""))]
-    texts = with_digest(maybe_in(source, name("doc_id"), wanted, name("_id"))).join(wanted, "text_id").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("cid", "body")
+    texts = with_digest(maybe_in(source, name("doc_id"), wanted, name("_id"))).join(wanted, "text_id").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = texts.dropDuplicates(["text_id", "cid"]).select("cid", "body")
 
-    def collect_sets(batches):
+    def measure(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["cid", "hashes"])
+            found = [shingles(t.as_py(), words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(map(histogram, found), pa.binary()), batch.column(1)], names=["cid", "size", "histogram", "body"])
 
-    sets = materialize(texts.mapInArrow(collect_sets, "cid bigint, hashes binary").dropDuplicates(["cid"]), "sets")
-    links = materialize(_stars(stars, sets, threshold), "links")
+    texts = materialize(texts.mapInArrow(measure, "cid bigint, size bigint, histogram binary, body string"), "texts")
+    stars = _promising(buckets.filter("cid <> center").select("center", "cid").distinct(), texts.select("cid", "size", "histogram"), threshold)
+    links = materialize(_stars(materialize(stars, "stars"), texts, words, threshold), "links")
     parts = components(links)
     marked = buckets.drop("center").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    more = materialize(_blocks(materialize(marked, "marked"), classes, sets, threshold, block), "links")
+    more = materialize(_blocks(materialize(marked, "marked"), texts, words, threshold, block), "links")
     parts = components(links.unionByName(more))
 
-    member = classes.select("cid", "set_id", "doc_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    member = materialize(member, "members")
-    smallest = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = member.join(smallest, "component").select("set_id", "component_id", F.lit(True).alias("known"))
-    out = read_rows.select("doc_id", "text_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    # What is in a component with another row: copies by their head, heads and linked documents by themselves.
+    linked_rows = parts.select(F.col("node").alias("cid"), "component")
+    moved = copies.join(linked_rows.withColumnRenamed("cid", "head"), "head", "left").select("cid", F.coalesce("component", "head").alias("component"))
+    moved = moved.unionByName(linked_rows.join(copies.select("cid"), "cid", "left_anti"))
+    moved = materialize(moved.join(maybe_in(read_rows.select("cid", "doc_id"), cid, moved, cid), "cid"), "members")
+    smallest = moved.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = moved.select("cid", "component").join(smallest, "component").select("cid", "component_id", F.lit(True).alias("known"))
+    out = read_rows.select("cid", "doc_id", "text_id", "n_shingles").join(named, "cid", "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that ``near_duplicates`` keeps, with all their columns."""
-    lost = _judged(documents, id_col, text_col).filter(~F.col("kept")).select("doc_id", "text_id").distinct()
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` that ``near_duplicates`` keeps, with all their columns and under the same rules.
+
+    Rows without words stay; of repeated rows all stay or go together; an empty table stays empty.
+    """
+    lost = _judged(documents, id_col, text_col, threshold=threshold).filter(~F.col("kept")).select("doc_id", "text_id").distinct()
     ids, texts = fresh_name(documents.columns, "_lost_id"), fresh_name(documents.columns, "_lost_text")
     lost = lost.select(F.col("doc_id").alias(ids), F.col("text_id").alias(texts))
     lost = materialize(lost, "lost")

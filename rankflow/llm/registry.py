@@ -40,7 +40,7 @@ def op5_bpe(spark, sf_dir):
 
 
 def op6_near_dedup(spark, sf_dir):
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), threshold=85)
 
 
 def op7_repeats(spark, sf_dir):

@@ -35,7 +35,7 @@ def expected(rows):
         if key not in best or best[key][0] < row[0]:
             best[key] = row
     kept = list(best.values())
-    found = near([(r[0], r[1]) for r in kept])
+    found = near([(r[0], r[1]) for r in kept], 80)
     return {r[0]: masked(r[1], RANKS) for r, (_, c) in zip(kept, found) if r[0] == c}
 
 
