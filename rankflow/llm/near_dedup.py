@@ -228,7 +228,7 @@ def _promising(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFra
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """``cid`` and ``body`` of the texts that ``ids (cid)`` name; few others come along."""
-    return maybe_in(texts.select("cid", "body"), [F.col("cid")], ids, [F.col("cid")])
+    return maybe_in(texts.select("cid", "body"), [F.col("cid")], ids.select("cid").distinct(), [F.col("cid")])
 
 
 def _stars(pairs: DataFrame, texts: DataFrame, words: int, threshold: int, salts: int = 64) -> DataFrame:
@@ -263,7 +263,7 @@ def _blocks(buckets: DataFrame, texts: DataFrame, words: int, threshold: int, bl
     """
     counts = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi")
     active = buckets.join(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
-    sketches = maybe_in(texts.select("cid", "size", "histogram"), [F.col("cid")], active, [F.col("cid")])
+    sketches = maybe_in(texts.select("cid", "size", "histogram"), [F.col("cid")], active.select("cid").distinct(), [F.col("cid")])
     of = active.groupBy("cid").agg(F.collect_list("key").alias("buckets")).join(sketches, "cid")
     active = active.join(of, "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -359,7 +359,7 @@ def _judged(documents: DataFrame, id_col: str, text_col: str, words: int = WORDS
     buckets = materialize(met.join(centers, "key"), "buckets")
     in_buckets = buckets.select("cid").distinct()
     cid = [F.col("cid")]
-    wanted = maybe_in(read_rows.select("cid", "text_id", F.col("doc_id").alias("_id")), cid, buckets, cid).join(in_buckets, "cid")
+    wanted = maybe_in(read_rows.select("cid", "text_id", F.col("doc_id").alias("_id")), cid, in_buckets, cid).join(in_buckets, "cid")
     wanted = materialize(wanted, "wanted")
     name = lambda c: [F.coalesce(F.col(c).cast("string"), F.lit(""))]
     texts = with_digest(maybe_in(source, name("doc_id"), wanted, name("_id"))).join(wanted, "text_id").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
