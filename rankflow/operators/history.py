@@ -83,29 +83,52 @@ def asof(events: DataFrame, probes: DataFrame, windows: Mapping[str, int], froze
 
     A window of d days holds events with ``t - d * 86400 <= event < t``; 0 days are all before. A probe without time has
     the ``frozen`` cutoff. Columns by window name: clicks, sum, avg, age in days, present; zeros without events. Events
-    of the probe's own second are not seen. Empty keys never match.
+    of the probe's own second are not seen, nor events without time. Empty keys never match. Repeated probes are
+    answered alike; without events or probes the result has zeros or no rows.
+
+    Events are first summed by second, and probes of one key and second are answered once. A key's rows are dealt out by
+    spans of time, so that the window over a hot key is many windows: each span holds its own events, those of the span
+    before (no window is longer than a span), and one row with what all earlier spans sum to.
     """
     blank = F.coalesce(F.col("key"), F.lit("")) == ""
-    e = events.filter(~blank).select("family", "key", "t", F.coalesce("cost", F.lit(0.0)).alias("cost"), F.lit(1).alias("_event"), F.lit(None).cast(probes.schema["id"].dataType).alias("id"))
-    p = probes.select("family", "key", F.coalesce("t", F.lit(frozen)).alias("t"), F.lit(0.0).alias("cost"), F.lit(0).alias("_event"), "id")
-    both = e.unionByName(p.filter(~blank))
+    width = max([*windows.values(), 0]) * DAY or 28 * DAY
+    span = F.floor(F.col("t") / width)
+    seconds = events.filter(~blank & F.col("t").isNotNull()).groupBy("family", "key", "t").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("v")).withColumn("span", span)
+    p = probes.select("family", F.when(~blank, F.col("key")).alias("key"), F.coalesce("t", F.lit(frozen)).cast("long").alias("t"), "id")
+    asked = p.filter(F.col("key").isNotNull() & F.col("t").isNotNull()).select("family", "key", "t").distinct().withColumn("span", span)
+
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    sums = seconds.groupBy("family", "key", "span").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.max("t").alias("last"), F.lit(0).alias("asked"))
+    spans = sums.unionByName(asked.select("family", "key", "span", zero.alias("n"), F.lit(0.0).alias("v"), none.alias("last"), F.lit(1).alias("asked")).distinct())
+    spans = spans.groupBy("family", "key", "span").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.max("last").alias("last"), F.max("asked").alias("asked"))
+    earlier = Window.partitionBy("family", "key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
+    before = spans.select("family", "key", "span", "asked", F.sum("n").over(earlier).alias("all_n"), F.sum("v").over(earlier).alias("all_v"), F.max("last").over(earlier).alias("all_seen")).filter("asked = 1 and all_n > 0")
+
+    row = lambda df, t, n, v, all_n, all_v, seen, all_seen, event, at=F.col("span"): df.select(
+        "family", "key", at.alias("span"), t.alias("t"), n.alias("n"), v.alias("v"), all_n.alias("all_n"), all_v.alias("all_v"), seen.alias("seen"), all_seen.alias("all_seen"), F.lit(event).alias("event")
+    )
+    t, n, v, nothing = F.col("t"), F.col("n"), F.col("v"), F.lit(0.0)
+    both = row(seconds, t, n, v, n, v, t, t, True).unionByName(row(asked, t, zero, nothing, zero, nothing, none, none, False))
+    both = both.unionByName(row(before, (F.col("span") * width - 1).cast("long"), zero, nothing, F.col("all_n"), F.col("all_v"), none, F.col("all_seen"), True))
+    if any(windows.values()):
+        both = both.unionByName(row(seconds, t, n, v, zero, nothing, t, none, True, F.col("span") + 1))
     columns = []
     for name, days in windows.items():
-        w = Window.partitionBy("family", "key").orderBy("t").rangeBetween(-days * DAY if days else Window.unboundedPreceding, -1)
-        clicks = F.coalesce(F.sum("_event").over(w), F.lit(0))
-        total = F.coalesce(F.sum("cost").over(w), F.lit(0.0))
-        last = F.max(F.when(F.col("_event") == 1, F.col("t"))).over(w)
+        w = Window.partitionBy("family", "key", "span").orderBy("t").rangeBetween(-days * DAY if days else Window.unboundedPreceding, -1)
+        clicks = F.coalesce(F.sum("n" if days else "all_n").over(w), zero)
+        total = F.coalesce(F.sum("v" if days else "all_v").over(w), nothing)
+        last = F.max("seen" if days else "all_seen").over(w)
         columns += [
             clicks.alias(f"{name}_clicks"),
             total.alias(f"{name}_sum"),
             F.when(clicks > 0, total / clicks).otherwise(0.0).alias(f"{name}_avg"),
-            F.coalesce((F.col("t") - last) / DAY, F.lit(0.0)).alias(f"{name}_age"),
+            F.coalesce((F.col("t") - last) / DAY, nothing).alias(f"{name}_age"),
             (clicks > 0).cast("int").alias(f"{name}_present"),
         ]
-    counted = both.select("family", "key", "id", "_event", *columns).filter("_event = 0").drop("_event")
-    names = [c for c in counted.columns if c not in ("family", "key", "id")]
-    none = p.filter(blank).select("family", "key", "id", *(F.lit(0).cast(counted.schema[c].dataType).alias(c) for c in names))
-    return counted.unionByName(none)
+    counted = both.select("family", "key", "t", "event", *columns).filter(~F.col("event")).drop("event")
+    names = [c for c in counted.columns if c not in ("family", "key", "t")]
+    out = p.join(counted, ["family", "key", "t"], "left")
+    return out.select("family", "key", "id", *(F.coalesce(F.col(c), F.lit(0).cast(counted.schema[c].dataType)).alias(c) for c in names))
 
 
 def families(parts: Mapping[str, Sequence[Column]]) -> Column:
@@ -142,20 +165,68 @@ def score(mode: str, prior: float = 20.0) -> Column:
     }[mode]
 
 
+#: Levels of the tree of time below which a node spans one second; its root spans about two thousand years.
+LEVELS = 36
+
+
+def cover(start: Column, end: Column) -> Column:
+    """The few nodes ``(level, node)`` that cover the seconds from ``start`` up to ``end`` exactly, two a level at most.
+
+    Node n of level l spans seconds ``n * 2**l`` up to ``(n + 1) * 2**l``; times are 0 or more.
+    """
+
+    def at(level):
+        half = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        low = F.call_function("shiftright", start + half - 1, level)
+        high = F.call_function("shiftright", end, level)
+        take = lambda odd, node: F.when((low < high) & (odd.bitwiseAND(F.lit(1)) == 1), F.struct(level.alias("level"), node.alias("node")))
+        return F.array(take(low, low), take(high, high - 1))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)), lambda x: x.isNotNull())
+
+
+def first_at(states: DataFrame, requests: DataFrame, key: str, order: Sequence[Column], k: int) -> DataFrame:
+    """The first ``k`` of the states that hold at each request's time: ``request`` and the columns of ``states``, ``rank``.
+
+    ``states`` has ``key``, ``start`` and ``end``, the seconds in which a state holds (no end: for ever); ``requests``
+    has ``request``, ``key`` and ``t``. Each state is filed under the few nodes of the tree of time that cover it, each
+    node keeps its first ``k``, and a request asks the nodes above its second: at most ``k`` rows of each, so neither
+    the items of a key nor its requests meet one by one. Requests of one key and second are answered once.
+    """
+    times = requests.filter(F.col(key).isNotNull() & F.col("t").isNotNull())
+    origin = times.agg(F.min("t").alias("_origin"))
+    filed = states.crossJoin(F.broadcast(origin))  # one row
+    start, end = F.greatest(F.col("start") - F.col("_origin"), F.lit(0)), F.coalesce(F.col("end") - F.col("_origin"), F.lit(1 << LEVELS))
+    filed = filed.filter(end > start).withColumn("_at", F.explode(cover(start, end))).drop("start", "end", "_origin")
+    firsts = top_k(filed, [key, "_at"], order, k).drop("rank")
+    asked = times.select(key, "t").distinct().crossJoin(F.broadcast(origin))  # one row
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    asked = asked.withColumn("_l", levels).select(key, "t", F.struct(F.col("_l").alias("level"), F.expr("shiftright(t - _origin, _l)").alias("node")).alias("_at"))
+    best = top_k(asked.join(firsts, [key, "_at"]).drop("_at"), [key, "t"], order, k)
+    return times.select("request", key, "t").join(best, [key, "t"])
+
+
 def temporal_candidates(events: DataFrame, requests: DataFrame, key: str, mode: str, k: int, least: int = 1, strict: bool = True, prior: float = 20.0) -> DataFrame:
     """The first ``k`` items by past events of a request's key.
 
     ``events (key, item, t, cost)``; ``requests (request, key, t)``. A request sees events strictly before its time, and
-    all of them if it has none or ``strict`` is off (frozen state). Ties: more clicks, later, smaller item.
+    all of them if it has none or ``strict`` is off (frozen state). Ties: more clicks, later, smaller item. Null keys
+    never match, events without time are seen by requests without time only, repeated requests are answered each.
 
-    Events of a key are first summed by item and time; per key, item and request the sums run over a range window, so a
-    request meets each item of its key once however many events it has.
+    Events of a key and item are summed by second; what an item's sums are from one event to the next is a state, and
+    ``first_at`` finds the best states of each request's second. Modes are free to rise and fall.
     """
-    daily = events.filter(F.col(key).isNotNull()).groupBy(key, "item", "t").agg(F.count(F.lit(1)).alias("_n"), F.sum("cost").alias("_v"))
-    asked = requests.filter(F.col(key).isNotNull()).select("request", key, F.col("t").alias("_asked"))
-    seen = asked.join(daily, key)
-    if strict:
-        seen = seen.filter(F.col("_asked").isNull() | (F.col("t") < F.col("_asked")))
-    past = seen.groupBy("request", "item").agg(F.sum("_n").alias("n"), F.round(F.sum("_v"), 6).alias("value"), F.max("t").alias("last")).filter(F.col("n") >= least)
-    past = past.withColumn("score", F.round(score(mode, prior), 9))
-    return top_k(past, "request", [F.desc("score"), F.desc("n"), F.desc("last"), F.asc("item")], k)
+    known = events.filter(F.col(key).isNotNull())
+    order = [F.desc("score"), F.desc("n"), F.desc("last"), F.asc("item")]
+    judged = lambda df: df.withColumn("value", F.round("value", 6)).filter(F.col("n") >= least).withColumn("score", F.round(score(mode, prior), 9))
+    final = judged(known.groupBy(key, "item").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("value"), F.max("t").alias("last")))
+    final = top_k(final, key, order, k)
+    columns = ["request", "item", "n", "value", "last", "score", "rank"]
+    if not strict:
+        return requests.filter(F.col(key).isNotNull()).select("request", key).join(final, key).select(*columns)
+    seconds = known.filter(F.col("t").isNotNull()).groupBy(key, "item", "t").agg(F.count(F.lit(1)).alias("_n"), F.sum("cost").alias("_v"))
+    w = Window.partitionBy(key, "item").orderBy("t")  # a row a second of one item
+    sums = seconds.select(key, "item", F.sum("_n").over(w).alias("n"), F.sum("_v").over(w).alias("value"), F.col("t").alias("last"), (F.col("t") + 1).alias("start"), (F.lead("t").over(w) + 1).alias("end"))
+    timed = first_at(judged(sums), requests, key, order, k).select(*columns)
+    untimed = requests.filter(F.col(key).isNotNull() & F.col("t").isNull()).select("request", key).join(final, key).select(*columns)
+    return timed.unionByName(untimed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.text import canonical
@@ -35,10 +36,10 @@ def week_selection(spark, sf_dir):
 @add(
     IMP,
     f"""SELECT request, user, key, region, item, coalesce(click, 0) AS click, CAST(round(coalesce(cost, 0) * 100) AS BIGINT) AS cents, {WEEK_SQL} AS week
-FROM imp WHERE click > 0 AND item IS NOT NULL AND key IS NOT NULL AND cost > 50000""",
+FROM imp WHERE click > 0 AND item IS NOT NULL AND key IS NOT NULL""",
 )
 def weekly_dataset(spark, sf_dir):
-    rows = impressions(spark, sf_dir).filter((F.coalesce("click", F.lit(0)) > 0) & F.col("item").isNotNull() & F.col("key").isNotNull() & (F.col("cost") > 50000))
+    rows = impressions(spark, sf_dir).filter((F.coalesce("click", F.lit(0)) > 0) & F.col("item").isNotNull() & F.col("key").isNotNull())
     return rows.select("request", "user", "key", "region", "item", F.coalesce("click", F.lit(0)).alias("click"), F.round(F.coalesce("cost", F.lit(0.0)) * 100).cast("long").alias("cents"), week_start(F.col("t")).alias("week"))
 
 
@@ -222,10 +223,7 @@ def popularity_extension(spark, sf_dir):
     return listed.select(F.posexplode("l").alias("at", "x")).select("x.item", "x.n", (F.col("at") + 1).cast("long").alias("rank"))
 
 
-def _augmented_sql(cutoff: str):
-    return f"""aug AS (
-  SELECT request AS asked, e.key, e.item, shows, clicks, last FROM req JOIN exact e USING (key)
-  UNION ALL SELECT a.request, b.key, b.item, 1, 1, b.t FROM req a JOIN truth b ON a.key = b.key AND b.t < a.t WHERE a.t < {cutoff})"""
+_AUGMENTED = ["shows", "clicks", "shows_7d", "clicks_7d", "shows_42d", "clicks_42d"]
 
 
 @add(
@@ -234,23 +232,30 @@ def _augmented_sql(cutoff: str):
     TRUTH,
     REQUESTS,
     EXACT,
-    _augmented_sql(str(BOUNDARY + 60 * DAY)),
-    f"SELECT asked AS request, item, CAST(sum(shows) AS BIGINT) AS shows, CAST(sum(clicks) AS BIGINT) AS clicks, max(last) AS last FROM aug JOIN (SELECT request FROM req WHERE t < {BOUNDARY + 60 * DAY}) q ON asked = q.request GROUP BY ALL HAVING sum(clicks) >= 3",
+    f"""aug AS (
+  SELECT request AS asked, e.item, {', '.join(_AUGMENTED)}, last FROM req JOIN exact e USING (key)
+  UNION ALL SELECT a.request, b.item, 1, 1, 1, 1, 1, 1, b.t FROM req a JOIN truth b ON a.key = b.key AND b.t < a.t)""",
+    f"s AS (SELECT asked AS request, item, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in _AUGMENTED)}, max(last) AS last FROM aug GROUP BY ALL)",
+    f"SELECT request, item, {', '.join(_AUGMENTED)}, last, rank FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY clicks DESC, shows DESC, last DESC, item) AS rank FROM s WHERE clicks > 0) WHERE rank <= 20",
 )
 def prior_augmentation(spark, sf_dir):
-    """Earlier labelled requests of the key count as one show and one click more, whatever their age."""
-    asked = requests(spark, sf_dir).filter(F.col("t") < BOUNDARY + 60 * DAY).select("request", "key", F.col("t").alias("_asked"))
-    base = asked.join(exact_stats(spark, sf_dir), "key").select("request", "item", "shows", "clicks", "last")
-    seen = truth(spark, sf_dir).groupBy("key", "item", "t").agg(F.count(F.lit(1)).alias("n"))
-    more = asked.join(seen, "key").filter(F.col("t") < F.col("_asked")).select("request", "item", F.col("n").alias("shows"), F.col("n").alias("clicks"), F.col("t").alias("last"))
-    return base.unionByName(more).groupBy("request", "item").agg(F.sum("shows").alias("shows"), F.sum("clicks").alias("clicks"), F.max("last").alias("last")).filter("clicks >= 3")
+    """Exact-key lists by clicks where earlier labelled requests of the key count as one show and one click more, whatever their age."""
+    base = exact_stats(spark, sf_dir).select("key", "item", F.lit(BOUNDARY - 1).alias("t"), *_AUGMENTED, "last")
+    more = truth(spark, sf_dir).groupBy("key", "item", "t").agg(*(F.count(F.lit(1)).alias(c) for c in _AUGMENTED), F.max("t").alias("last"))
+    w = Window.partitionBy("key", "item").orderBy("t")
+    sums = base.unionByName(more).select("key", "item", *(F.sum(c).over(w).alias(c) for c in _AUGMENTED), F.max("last").over(w).alias("last"), (F.col("t") + 1).alias("start"), (F.lead("t").over(w) + 1).alias("end"))
+    order = [F.desc("clicks"), F.desc("shows"), F.desc("last"), F.asc("item")]
+    return history.first_at(sums.filter("clicks > 0"), requests(spark, sf_dir), "key", order, 20).select("request", "item", *_AUGMENTED, "last", "rank")
 
 
 @add(IMP, TRUTH, REQUESTS, "c AS (SELECT key, item, count(*) AS n, max(t) AS last FROM imp WHERE click > 0 GROUP BY ALL)", "SELECT request, count(*) AS items, CAST(sum(n) AS BIGINT) AS clicks FROM req JOIN c USING (key) WHERE c.last < req.t GROUP BY request")
 def leak_filter(spark, sf_dir):
-    """An item whose last event is not before the request is dropped whole."""
+    """An item whose last event is not before the request is dropped whole; items are counted as of their last event."""
+    family, key = F.lit("query").alias("family"), F.col("key").cast("string").alias("key")
     stats = clicks(spark, sf_dir).groupBy("key", "item").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last"))
-    return requests(spark, sf_dir).join(stats, "key").filter(F.col("last") < F.col("t")).groupBy("request").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("clicks"))
+    ended = stats.select(family, key, F.col("last").alias("t"), F.col("n").cast("double").alias("cost"))
+    found = history.asof(ended, requests(spark, sf_dir).select(F.col("request").alias("id"), family, key, "t"), {"all": 0})
+    return found.filter("all_clicks > 0").select(F.col("id").alias("request"), F.col("all_clicks").alias("items"), F.col("all_sum").cast("long").alias("clicks"))
 
 
 FAMILIES = {"item": ["item"], "group": ["grp"], "query": ["key"], "region": ["region"], "user": ["user"], "query_item": ["key", "item"], "region_item": ["region", "item"], "user_item": ["user", "item"], "user_group": ["user", "grp"]}
@@ -366,21 +371,16 @@ def history_universe(spark, sf_dir):
     TRUTH,
     REQUESTS,
     "d AS (SELECT DISTINCT t FROM req)",
-    f"c AS (SELECT item, t, count(*) AS n, sum(cost) AS v FROM imp WHERE click > 0 AND t >= {BOUNDARY - 28 * DAY} GROUP BY ALL)",
-    f"h AS (SELECT d.t, item, sum(n) AS n, round(sum(v), 6) AS value FROM d JOIN c ON c.t < d.t AND c.t >= d.t - {28 * DAY} GROUP BY ALL)",
-    "r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(value * n / (n + 20::DOUBLE), 9) DESC, item) AS rank FROM h)",
+    "c AS (SELECT item, t, count(*) AS n, sum(cost) AS v FROM imp WHERE click > 0 GROUP BY ALL)",
+    "h AS (SELECT d.t, item, sum(n) AS n, round(sum(v), 6) AS value, max(c.t) AS last FROM d JOIN c ON c.t < d.t GROUP BY ALL)",
+    "r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(value * n / (n + 20::DOUBLE), 9) DESC, n DESC, last DESC, item) AS rank FROM h)",
     "SELECT t, item, CAST(n AS BIGINT) AS n, value, rank FROM r WHERE rank <= 20",
 )
 def temporal_history_global(spark, sf_dir):
-    """The global list of each request time over the 28 days before it: once per time, however many requests have it."""
-    times = requests(spark, sf_dir).select("t").distinct().select(F.col("t").alias("_asked"))
-    daily = clicks(spark, sf_dir).filter(F.col("t") >= BOUNDARY - 28 * DAY).groupBy("item", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("v"))
-    # Each time looks at the two blocks of 28 days that can hold its window: an equality join.
-    blocks = times.select("_asked", F.explode(F.array(F.floor(F.col("_asked") / (28 * DAY)), F.floor(F.col("_asked") / (28 * DAY)) - 1)).alias("_b"))
-    near = blocks.join(daily.withColumn("_b", F.floor(F.col("t") / (28 * DAY))), "_b").filter((F.col("t") < F.col("_asked")) & (F.col("t") >= F.col("_asked") - 28 * DAY))
-    past_items = near.groupBy(F.col("_asked").alias("t"), "item").agg(F.sum("n").alias("n"), F.round(F.sum("v"), 6).alias("value"))
-    score = F.round(F.col("value") * F.col("n") / (F.col("n") + F.lit(20.0)), 9)
-    return ranking.top_k(past_items, "t", [score.desc(), F.asc("item")], 20)
+    """The global list of each request time: one key that all events have."""
+    times = requests(spark, sf_dir).select(F.col("t").alias("request"), F.lit(0).alias("all"), "t").distinct()
+    events = clicks(spark, sf_dir).select(F.lit(0).alias("all"), "item", "t", "cost")
+    return history.temporal_candidates(events, times, "all", "shrunk", 20).select(F.col("request").alias("t"), "item", "n", "value", "rank")
 
 
 @add(
