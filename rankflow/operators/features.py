@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankflow.functions import text as X
 from rankflow.functions.numeric import min_max, z_score
 from rankflow.functions.timeops import DAY
+from rankflow.operators.quantiles import interpolated
 
 
 def check_names(names: Sequence[str]) -> list[str]:
@@ -113,7 +114,7 @@ def impression_features(stats: DataFrame, end: int) -> DataFrame:
 def group_weights(rows: DataFrame, quantile: float, floor: float, power: float) -> DataFrame:
     """Per request: its value, capped at a quantile of all, floored, raised to a power, scaled to a mean of 1."""
     sums = rows.groupBy("request").agg(F.sum("cost").alias("_v"))
-    cap = sums.agg(F.percentile("_v", float(quantile)).alias("_cap"))
+    cap = interpolated(sums, "_v", [quantile]).select(F.get("values", F.lit(0)).alias("_cap"))
     raw = sums.crossJoin(F.broadcast(cap)).withColumn("_w", F.pow(F.greatest(F.least("_v", "_cap"), F.lit(float(floor))), F.lit(float(power))))
     mean = raw.agg(F.avg("_w").alias("_mean"))
     return raw.crossJoin(F.broadcast(mean)).select("request", (F.col("_w") / F.col("_mean")).alias("weight"))

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.operators.quantiles import interpolated, quantiles
+
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
@@ -55,14 +57,8 @@ def mean_jaccard(candidates: DataFrame, a: str, b: str, k: int, requests: DataFr
 
 
 def ceil_rank_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """The value at rank ``ceil(q * (n - 1))`` from 0: no interpolation. One row, ``threshold``.
-
-    Values are counted before they are ordered, so the one ordered window has a row per distinct value.
-    """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    reached = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy(column)))
-    return reached.crossJoin(F.broadcast(total)).filter(F.col("_upto") >= F.ceil(F.lit(q) * (F.col("_all") - 1)) + 1).agg(F.min(column).alias("threshold"))
+    """The value at rank ``ceil(q * (n - 1))`` from 0: no interpolation. One row, ``threshold``, null without values."""
+    return quantiles(df, column, [q]).agg(F.max("upper").alias("threshold"))
 
 
 def complementarity(truth: DataFrame, candidates: DataFrame, sources: Sequence[str], baseline: Sequence[str], q: float, k: int) -> DataFrame:
@@ -117,11 +113,11 @@ def differences(truth: DataFrame, new: DataFrame, old: DataFrame, k: int) -> Dat
     return hits.crossJoin(items.agg(F.count_if(F.col("_o").isNull()).alias("new_items"), F.count_if(F.col("_n").isNull()).alias("lost_items")))  # one row each
 
 
-def cost_strata(truth: DataFrame, ranking: DataFrame, quantiles: Sequence[float], k: int) -> DataFrame:
+def cost_strata(truth: DataFrame, ranking: DataFrame, shares: Sequence[float], k: int) -> DataFrame:
     """Recall within bands of cost between interpolated quantiles; bands are half open, the last is closed."""
-    edges = truth.agg(F.percentile("cost", [float(q) for q in quantiles]).alias("_e"))
+    edges = interpolated(truth, "cost", shares).withColumnRenamed("values", "_e")
     joined = truth.join(ranking.filter(F.col("rank") <= k).select("request", "item", F.lit(1).alias("_hit")), ["request", "item"], "left").crossJoin(F.broadcast(edges))
-    band = F.least(F.aggregate("_e", F.lit(0), lambda n, e: n + F.when(F.col("cost") >= e, 1).otherwise(0)), F.lit(len(quantiles) - 1))
+    band = F.least(F.aggregate("_e", F.lit(0), lambda n, e: n + F.when(F.col("cost") >= e, 1).otherwise(0)), F.lit(len(shares) - 1))
     return joined.groupBy(band.cast("long").alias("band")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("cost").alias("cost"), F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"), _share(F.sum(F.when(F.col("_hit") == 1, F.col("cost")).otherwise(0.0)), F.sum("cost")).alias("cost_recall"))
 
 
