@@ -49,20 +49,27 @@ def vector_top_k(queries: DataFrame, items: DataFrame, k: int, id_col: str = "id
     return top_k(found, "query", [F.desc("score"), F.asc("item")], k)
 
 
+#: Weights of terms are summed as whole numbers of this many to 1, so that a sum doesn't depend on its order.
+FIXED = 100_000_000
+
+
 def tfidf_top_k(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """Cosine of TF-IDF weights ``(1 + ln tf) * ln(1 + N / df)``; both sides are ``(id, text)``.
 
-    Only terms that a query has meet in the join; document norms come from an aggregation over all terms.
+    ``query``, ``item``, ``score`` to 8 digits, ``rank``; ties go to the smaller item. A text without known terms finds
+    nothing, and null texts have none. Only terms that a query has meet in the join, whose common terms Spark splits as
+    skewed keys; document norms come from an aggregation over all terms.
     """
     terms = lambda df, name: df.select(F.col("id").alias(name), F.explode(tokens(F.col("text"))).alias("term")).groupBy(name, "term").agg(F.count(F.lit(1)).alias("tf"))
+    fixed = lambda x: F.round(x * FIXED).cast("long")
     of_docs, of_queries = terms(documents, "item"), terms(queries, "query")
     n = documents.agg(F.count(F.lit(1)).alias("_all"))
     idf = of_docs.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n)).select("term", F.log(1 + F.col("_all") / F.col("_df")).alias("idf"))  # one row
     weigh = lambda df: df.join(idf, "term").withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     docs, asked = weigh(of_docs), weigh(of_queries)
-    norms = docs.groupBy("item").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_dn"))
-    query_norms = asked.groupBy("query").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_qn"))
-    dots = asked.select("query", "term", F.col("w").alias("_q")).join(docs.select("item", "term", "w"), "term").groupBy("query", "item").agg(F.sum(F.col("_q") * F.col("w")).alias("_dot"))
+    norms = docs.groupBy("item").agg(F.sqrt(F.sum(fixed(F.col("w") * F.col("w"))).cast("double")).alias("_dn"))
+    query_norms = asked.groupBy("query").agg(F.sqrt(F.sum(fixed(F.col("w") * F.col("w"))).cast("double")).alias("_qn"))
+    dots = asked.select("query", "term", F.col("w").alias("_q")).join(docs.select("item", "term", "w"), "term").groupBy("query", "item").agg(F.sum(fixed(F.col("_q") * F.col("w"))).cast("double").alias("_dot"))
     scored = dots.join(norms, "item").join(query_norms, "query").select("query", "item", F.round(F.col("_dot") / (F.col("_dn") * F.col("_qn")), 8).alias("score"))
     return top_k(scored, "query", [F.desc("score"), F.asc("item")], k)
 

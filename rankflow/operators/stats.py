@@ -2,36 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from math import exp, factorial
 
-import numpy as np
-import pandas as pd
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Clusters whose draws are made together.
-CLUSTER_BLOCK = 512
+#: Replicates that one digest decides, each by 32 bits of it.
+DRAWS = 4
+
+
+def poisson_bounds() -> list[int]:
+    """Of 32 random bits, the numbers from which a Poisson(1) draw is 1 or more, 2 or more, and so on."""
+    bounds, below, k = [], 0.0, 0
+    while True:
+        below += exp(-1) / factorial(k)
+        at = round(below * 2**32)
+        if at >= 2**32:
+            return bounds
+        bounds.append(at)
+        k += 1
 
 
 def bootstrap(clusters: DataFrame, whole: str, a: str, b: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
     """Difference of two ratios of sums under resampling of clusters: one row per replicate.
 
-    Each cluster is drawn a Poisson(1) number of times, from a generator seeded by the cluster, so the draws of a
-    replicate don't depend on partitions and no cluster has to meet another; sums combine by replicate.
+    The first column names a cluster. Each cluster is drawn a Poisson(1) number of times by the MD5 digest of
+    ``cluster:block:seed``, so the draws don't depend on partitions and no cluster has to meet another; sums combine by
+    replicate before they are shuffled. A cluster that is named twice is drawn alike; without clusters there are no rows.
     """
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((replicates, 3))
-        for frame in frames:
-            values = frame[[whole, a, b]].to_numpy(dtype=float)
-            for i, name in enumerate(frame["_seed"]):
-                times = np.random.default_rng([seed, int(name) & (2**63 - 1)]).poisson(1.0, replicates)
-                total += times[:, None] * values[i]
-        yield pd.DataFrame({"replicate": np.arange(replicates), "w": total[:, 0], "a": total[:, 1], "b": total[:, 2]})
-
-    keyed = clusters.select(F.xxhash64(clusters.columns[0]).alias("_seed"), whole, a, b)
-    sums = keyed.mapInPandas(draw, "replicate long, w double, a double, b double").groupBy("replicate").agg(F.sum("w").alias("w"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    blocks = -(-replicates // DRAWS)
+    name = F.col(clusters.columns[0]).cast("string")
+    drawn = clusters.select(name.alias("_c"), whole, a, b, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    drawn = drawn.withColumn("_h", F.md5(F.concat_ws(":", "_c", "_b", F.lit(seed)).cast("binary")))
+    bits = [F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long") for i in range(DRAWS)]
+    each = drawn.select(whole, a, b, F.explode(F.array(*(F.struct((F.col("_b") * DRAWS + i).cast("long").alias("replicate"), x.alias("bits")) for i, x in enumerate(bits)))).alias("_d"))
+    times = sum(((F.col("_d.bits") >= bound).cast("int") for bound in poisson_bounds()), F.lit(0))
+    each = each.select("_d.replicate", times.alias("_n"), whole, a, b).filter((F.col("replicate") < replicates))
+    total = lambda c: F.sum(F.col("_n") * F.col(c))
+    sums = each.groupBy("replicate").agg(total(whole).alias("w"), total(a).alias("a"), total(b).alias("b"))
     return sums.select("replicate", F.when(F.col("w") > 0, (F.col("b") - F.col("a")) / F.col("w")).otherwise(0.0).alias("delta"))
 
 
@@ -46,10 +55,16 @@ def summarize_bootstrap(deltas: DataFrame) -> DataFrame:
     )
 
 
+def seeded(seed: int, *keys: str) -> Column:
+    """A random order that the keys and the seed decide: the MD5 digest of ``key:...:seed``."""
+    return F.md5(F.concat_ws(":", *keys, F.lit(seed)).cast("binary"))
+
+
 def permutation_importance(rows: DataFrame, columns: Sequence[str], score, k: int, repeats: int = 3, seed: int = 5) -> DataFrame:
     """Mean drop in value capture when a column's values change places, by ``score(df) -> df with "score"``.
 
-    Values change places by two row numbers over the same rows in different orders, within the partitions of a hash.
+    Values change places by two row numbers over the same rows in different orders, within the 4096 parts that the
+    first digits of one digest make; requests and items must be unique together.
     """
     from rankflow.operators.metrics import value_capture
 
@@ -58,10 +73,9 @@ def permutation_importance(rows: DataFrame, columns: Sequence[str], score, k: in
     out = None
     for column in columns:
         for n in range(repeats):
-            part = F.pmod(F.xxhash64("request", "item", F.lit(n)), F.lit(64))
-            places = rows.withColumn("_part", part)
+            places = rows.withColumn("_part", F.substring(seeded(n, "request", "item"), 1, 3))
             w = Window.partitionBy("_part")
-            there = places.select("_part", F.row_number().over(w.orderBy(F.xxhash64("request", "item", F.lit(seed + n)), "request", "item")).alias("_at"), F.col(column).alias("_moved"))
+            there = places.select("_part", F.row_number().over(w.orderBy(seeded(seed + n + 1, "request", "item"), "request", "item")).alias("_at"), F.col(column).alias("_moved"))
             here = places.withColumn("_at", F.row_number().over(w.orderBy("request", "item")))
             moved = here.join(there, ["_part", "_at"]).withColumn(column, F.col("_moved")).select(*rows.columns)
             one = mean(moved).select(F.lit(column).alias("feature"), F.lit(n).alias("turn"), "capture")
@@ -76,7 +90,7 @@ def listwise_sample(pool: DataFrame, positives: int, hard: int, random_tail: int
     w = Window.partitionBy("request", "_kind")
     ranked = pool.withColumn("_kind", kind).withColumn("_n", F.row_number().over(w.orderBy(F.desc(F.when(positive, F.col("cost"))), "pre_rank", "item")))
     taken = ranked.withColumn("role", F.when(positive & (F.col("_n") <= positives), "positive").when(~positive & (F.col("_n") <= hard), "hard"))
-    tail = Window.partitionBy("request").orderBy(F.xxhash64("request", "item", F.lit(seed)), "item")
+    tail = Window.partitionBy("request").orderBy(seeded(seed, "request", "item"), "item")
     rest = taken.filter(F.col("role").isNull() & ~positive).withColumn("_t", F.row_number().over(tail)).filter(F.col("_t") <= random_tail).withColumn("role", F.lit("tail")).drop("_t")
     out = taken.filter("role is not null").unionByName(rest)
     root = F.sqrt(F.greatest(F.lit(0.0), F.when(positive, F.col("cost")).otherwise(0.0)))

@@ -158,14 +158,17 @@ def hash_sample(spark, sf_dir):
 
 # Text and hashes
 
-MATCH = """m AS (SELECT o_orderkey AS id, o_orderpriority || ' ring' AS q, p_name AS t FROM orders JOIN part ON o_orderkey % 2000 = p_partkey WHERE o_orderkey < 20000),
+MATCH = """m AS (SELECT l_orderkey * 8 + l_linenumber AS id, o_orderpriority || ' ring' AS q, p_name AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 k AS (SELECT *, list_distinct({q}) AS a, list_distinct({t}) AS b, {nq} AS qn, {nt} AS tn FROM m)""".format(q=tok("q"), t=tok("t"), nq=norm("q"), nt=norm("t"))
 TRI = "CASE WHEN length({0}) > 0 THEN list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3))) ELSE [] END"
 
 
 def _match(spark, sf_dir):
-    asked = table(spark, sf_dir, "orders").filter("o_orderkey < 20000").select(F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.lit(" ring")).alias("q"), (F.col("o_orderkey") % 2000).alias("p_partkey"))
-    return asked.join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("t")), "p_partkey")
+    """Every order line: its order's priority as the query, its part's name as the title."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(" ring")).alias("q"))
+    titles = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("t"))
+    return lines.join(asked, F.col("l_orderkey") == F.col("o_orderkey")).join(titles, F.col("l_partkey") == F.col("p_partkey")).select("id", "q", "t")
 
 
 @add(
@@ -451,14 +454,14 @@ def vector_topk(spark, sf_dir):
     "td AS (SELECT item, term, count(*) AS tf FROM d GROUP BY ALL), tb AS (SELECT query, term, count(*) AS tf FROM b GROUP BY ALL)",
     "i AS (SELECT term, ln(1 + (SELECT count(*) FROM documents) / count(*)::DOUBLE) AS idf FROM td GROUP BY term)",
     "wd AS (SELECT item, term, (1 + ln(tf)) * idf AS w FROM td JOIN i USING (term)), wb AS (SELECT query, term, (1 + ln(tf)) * idf AS w FROM tb JOIN i USING (term))",
-    "nd AS (SELECT item, sqrt(sum(w * w)) AS n FROM wd GROUP BY item), nb AS (SELECT query, sqrt(sum(w * w)) AS n FROM wb GROUP BY query)",
-    "s AS (SELECT query, item, round(x / (nd.n * nb.n), 8) AS score FROM (SELECT query, item, sum(wb.w * wd.w) AS x FROM wb JOIN wd USING (term) GROUP BY ALL) JOIN nd USING (item) JOIN nb USING (query))",
-    "SELECT query, item, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM s) WHERE rank <= 10",
+    "nd AS (SELECT item, sqrt(CAST(sum(CAST(round(w * w * 100000000) AS BIGINT)) AS DOUBLE)) AS n FROM wd GROUP BY item), nb AS (SELECT query, sqrt(CAST(sum(CAST(round(w * w * 100000000) AS BIGINT)) AS DOUBLE)) AS n FROM wb GROUP BY query)",
+    "s AS (SELECT query, item, round(x / (nd.n * nb.n), 8) AS score FROM (SELECT query, item, CAST(sum(CAST(round(wb.w * wd.w * 100000000) AS BIGINT)) AS DOUBLE) AS x FROM wb JOIN wd USING (term) GROUP BY ALL) JOIN nd USING (item) JOIN nb USING (query))",
+    "SELECT query, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM s) WHERE rank <= 10",
 )
 def tfidf_topk(spark, sf_dir):
     """Lexical search of benchmark texts among documents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return rounded(retrieval.tfidf_top_k(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), docs, 10), "score", digits=6)
+    return retrieval.tfidf_top_k(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), docs, 10)
 
 
 # Streaming twins

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankflow.operators import metrics, ranking
 from rankflow.operators import requests as R
+from rankflow.operators.stats import DRAWS, poisson_bounds
 from rankflow.plans.base import BOUNDARY, SCALE, STANDARD, Registry, by_key, candidates, one_source, past, requests, truth
 from rankflow.plans.history_queries import recall_sql, rounded
 from rankflow.sources.tables import table
@@ -113,11 +114,11 @@ def filter_rerank(spark, sf_dir):
 
 @add(
     *STANDARD,
-    RRF,
-    "s AS (SELECT request, item, rank, score FROM cand WHERE source = 'value')",
+    RRF.replace("rrf AS (", "rrf AS MATERIALIZED ("),
+    "s AS MATERIALIZED (SELECT request, item, rank, score FROM cand WHERE source = 'value')",
     "z AS (SELECT request, CASE WHEN count(score) < 2 THEN 'inf'::DOUBLE ELSE (max(score) FILTER (rank = 1) - avg(score)) / (stddev_pop(score) + 1e-6) END AS z FROM s WHERE rank <= 20 GROUP BY request)",
-    "c AS (SELECT request, item, rank FROM rrf WHERE rank <= 30)",
-    "n AS (SELECT request, first(item ORDER BY rank, item) AS new FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.request = s.request AND c.item = s.item) GROUP BY request)",
+    "c AS MATERIALIZED (SELECT request, item, rank FROM rrf WHERE rank <= 30)",
+    "n AS (SELECT request, first(item ORDER BY rank, item) AS new FROM s ANTI JOIN c USING (request, item) GROUP BY request)",
     "SELECT c.request, CASE WHEN rank = 30 AND new IS NOT NULL THEN new ELSE item END AS item, rank FROM c LEFT JOIN (SELECT n.* FROM n JOIN z USING (request) WHERE z <= 3) n ON c.request = n.request",
 )
 def lexical_tail(spark, sf_dir):
@@ -445,39 +446,93 @@ def alignment(spark, sf_dir):
     return align(one_source(cand, "value").filter("request % 7 <> 0"), one_source(cand, "recency").filter("request % 5 <> 0"))
 
 
-@add("SELECT CAST(0 AS BIGINT) AS request, CAST(0 AS BIGINT) AS item, CAST(0 AS BIGINT) AS rank, '' AS side WHERE false")
+_STALE = _rrf_sql("stale", "old", WEIGHTS, 60, "sources", 50)
+
+
+@add(
+    *STANDARD,
+    RRF,
+    "old AS (SELECT * FROM cand WHERE source <> 'count' OR rank <= 40)",
+    _STALE,
+    "a AS (SELECT request, item, rank FROM rrf), b AS (SELECT request, item, rank FROM stale)",
+    "SELECT *, 'left' AS side FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT *, 'right' FROM (FROM b EXCEPT ALL FROM a)",
+)
 def cache_parity(spark, sf_dir):
-    """Rows by which a ranking from a stored pool differs from one recomputed by another route: none."""
+    """Rows by which a ranking differs from one of a stored pool whose ``count`` lists were cut to 40.
+
+    The stored pool is ranked by key and joined to the requests, another route than that of the other side.
+    """
     from rankflow.operators.validate import parity
 
     direct = fused(spark, sf_dir).select("request", "item", "rank")
-    lists = by_key(spark, sf_dir)
-    per_key = ranking.fuse(lists.filter("rank <= 50").withColumnRenamed("key", "request"), WEIGHTS, 60.0, 50).withColumnRenamed("request", "key")
+    lists = by_key(spark, sf_dir).filter("rank <= 50 and (source <> 'count' or rank <= 40)")
+    per_key = ranking.fuse(lists.withColumnRenamed("key", "request"), WEIGHTS, 60.0, 50).withColumnRenamed("request", "key")
     cached = requests(spark, sf_dir).select("request", "key").join(per_key, "key").select("request", "item", "rank")
     return parity(direct, cached)
 
 
-@add()
+REPLICATES = 200
+_TIMES = " + ".join(f"CAST(bits >= {bound} AS INT)" for bound in poisson_bounds())
+
+
+@add(
+    *STANDARD,
+    RRF,
+    CLUSTERS,
+    f"h AS (SELECT cost, old, new, b, md5(concat_ws(':', user, b, 7)) AS h FROM clusters, range({REPLICATES // DRAWS}) r(b))",
+    f"d AS (SELECT cost, old, new, b * {DRAWS} + i AS replicate, CAST('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT) AS bits FROM h, range({DRAWS}) s(i))",
+    f"n AS (SELECT replicate, cost, old, new, {_TIMES} AS n FROM d)",
+    "r AS (SELECT replicate, CASE WHEN sum(n * cost) > 0 THEN (sum(n * new) - sum(n * old)) / sum(n * cost) ELSE 0 END AS delta FROM n GROUP BY replicate)",
+    "SELECT count(*) AS replicates, round(avg(delta), 9) AS mean, round(quantile_cont(delta, 0.5), 9) AS median, round(quantile_cont(delta, 0.05), 9) AS low_90, round(quantile_cont(delta, 0.95), 9) AS high_90, round(quantile_cont(delta, 0.975), 9) AS high_95, round(quantile_cont(delta, 0.025), 9) AS low_95, avg(CAST(delta > 0 AS DOUBLE)) AS p_above, avg(CAST(delta >= 0 AS DOUBLE)) AS p_not_below FROM r",
+)
 def bootstrap(spark, sf_dir):
     """Paired bootstrap over users of the fused ranking against one source."""
     from rankflow.operators.stats import bootstrap as resample
     from rankflow.operators.stats import summarize_bootstrap
 
-    return rounded(summarize_bootstrap(resample(clusters(spark, sf_dir), "cost", "old", "new", 1000)), "mean", "median", "low_90", "high_90", "low_95", "high_95")
+    return rounded(summarize_bootstrap(resample(clusters(spark, sf_dir), "cost", "old", "new", REPLICATES)), "mean", "median", "low_90", "high_90", "low_95", "high_95")
+
 
+def _capture_sql(name: str, source: str) -> str:
+    return f"{name} AS (SELECT avg(c) AS capture FROM (SELECT CASE WHEN sum(cost) > 0 THEN sum(CASE WHEN r <= 10 THEN cost ELSE 0 END) / sum(cost) ELSE 0 END AS c FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY -pre_rank + 0.5::DOUBLE * model_a + 0.01::DOUBLE * model_b DESC, item) AS r FROM {source}) GROUP BY request))"
 
-@add()
+
+_TERMS = ["pre_rank", "model_a", "model_b"]
+
+
+@add(
+    *STANDARD,
+    RRF,
+    MODELED,
+    LABELED,
+    """p AS MATERIALIZED (SELECT request, item, pre_rank, model_a, model_b, label_cost AS cost, part, row_number() OVER (PARTITION BY part ORDER BY request, item) AS here, row_number() OVER (PARTITION BY part ORDER BY turn, request, item) AS there
+  FROM (SELECT *, substr(md5(concat_ws(':', request, item, 0)), 1, 3) AS part, md5(concat_ws(':', request, item, 6)) AS turn FROM lab))""",
+    _capture_sql("base", "p"),
+    *(f"p_{c} AS (SELECT a.request, a.item, a.cost, {', '.join(f'b.{x} AS {x}' if x == c else f'a.{x}' for x in _TERMS)} FROM p a JOIN p b ON a.part = b.part AND a.here = b.there), {_capture_sql(f'c_{c}', f'p_{c}')}" for c in _TERMS),
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, round(base.capture - c_{c}.capture, 9) AS drop FROM base, c_{c}" for c in _TERMS),
+)
 def importance(spark, sf_dir):
     """Permutation importance of the terms of a linear model."""
     from rankflow.operators.stats import permutation_importance
 
     pool = labeled(spark, sf_dir).select("request", "item", "pre_rank", "model_a", "model_b", F.col("label_cost").alias("cost"))
     score = lambda df: df.withColumn("score", -F.col("pre_rank") + 0.5 * F.col("model_a") + 0.01 * F.col("model_b"))
-    return rounded(permutation_importance(pool, ["pre_rank", "model_a", "model_b"], score, 10, repeats=1), "drop")
+    return rounded(permutation_importance(pool, _TERMS, score, 10, repeats=1), "drop")
 
 
-@add()
+@add(
+    *STANDARD,
+    RRF,
+    MODELED,
+    LABELED,
+    "n AS (SELECT *, row_number() OVER (PARTITION BY request, label ORDER BY CASE WHEN label > 0 THEN label_cost END DESC, pre_rank, item) AS n FROM lab)",
+    "t AS (SELECT *, CASE WHEN label > 0 AND n <= 8 THEN 'positive' WHEN label = 0 AND n <= 16 THEN 'hard' END AS role FROM n)",
+    "r AS (SELECT request, item, label, label_cost, 'tail' AS role FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY md5(concat_ws(':', request, item, 3)), item) AS k FROM t WHERE role IS NULL AND label = 0) WHERE k <= 8)",
+    "a AS (SELECT request, item, role, sqrt(CASE WHEN label > 0 THEN label_cost ELSE 0 END) AS root FROM (SELECT request, item, label, label_cost, role FROM t WHERE role IS NOT NULL UNION ALL SELECT * FROM r))",
+    "SELECT request, item, role, round(CASE WHEN sum(root) OVER (PARTITION BY request) > 0 THEN root / sum(root) OVER (PARTITION BY request) ELSE 0 END, 9) AS target FROM a",
+)
 def listwise_sample(spark, sf_dir):
+    """Positives, hard negatives and a random tail of each request."""
     from rankflow.operators.stats import listwise_sample as sample
 
     return rounded(sample(labeled(spark, sf_dir).withColumn("cost", F.col("label_cost")), 8, 16, 8).select("request", "item", "role", "target"), "target")
