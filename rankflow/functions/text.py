@@ -19,10 +19,10 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def tokens(text: Column, compose: bool = False) -> Column:
-    """Lower-case Latin, Cyrillic and digit runs, ё as е; null gives none. ``compose`` applies NFKC first."""
-    text = nfkc(text) if compose else text
-    return F.regexp_extract_all(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "ё", "е"), F.lit(TOKEN), 0)
+def tokens(text: Column, compose: bool = False, fold: bool = True) -> Column:
+    """Lower-case Latin, Cyrillic and digit runs; null gives none. ``compose`` applies NFKC first, ``fold`` reads ё as е."""
+    low = F.lower(F.coalesce(nfkc(text) if compose else text, F.lit("")))
+    return F.regexp_extract_all(F.regexp_replace(low, "ё", "е") if fold else low, F.lit(TOKEN), 0)
 
 
 def normalize(text: Column, compose: bool = False) -> Column:
@@ -35,6 +35,19 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
+def normalizers(text: Column) -> dict[str, Column]:
+    """The six ways in which texts are told apart, from the text itself to its tokens in sorted order; null is empty."""
+    known = F.coalesce(text, F.lit(""))
+    return {
+        "raw": known,
+        "trim_lower": F.lower(F.trim(known)),
+        "nfkc": F.lower(nfkc(known)),
+        "whitespace": squeeze(known),
+        "project": normalize(known, compose=True),
+        "canonical": F.array_join(F.array_sort(tokens(known, compose=True)), " "),
+    }
+
+
 def first_tokens(text: Column, n: int, prefix: str = "") -> Column:
     """The first ``n`` distinct tokens, each with ``prefix``."""
     return F.transform(F.slice(F.array_distinct(tokens(text)), 1, n), lambda t: F.concat(F.lit(prefix), t))

@@ -89,6 +89,20 @@ def counter_features(prefix: str) -> list[Column]:
     return [F.log1p(c("clicks")).alias(f"{prefix}_log_clicks"), F.log1p(F.greatest(F.lit(0.0), c("sum"))).alias(f"{prefix}_log_sum"), c("avg"), c("age"), c("present")]
 
 
+def counter_table(counters: DataFrame, keys: Sequence[str], families: Sequence[str], windows: Sequence[str]) -> DataFrame:
+    """As-of counters ``(*keys, family, <window>_clicks, ...)`` as one row per key: five model inputs of each family and window."""
+    columns = []
+    for f in families:
+        for w in windows:
+            of = lambda c: F.max(F.when(F.col("family") == f, F.col(f"{w}_{c}")))  # noqa: B023, E731
+            columns += [
+                F.log1p(of("clicks").cast("double")).alias(f"{f}_{w}_log_clicks"),
+                F.log1p(F.greatest(F.lit(0.0), of("sum"))).alias(f"{f}_{w}_log_sum"),
+                *(of(c).alias(f"{f}_{w}_{c}") for c in ("avg", "age", "present")),
+            ]
+    return counters.groupBy(*keys).agg(*columns)
+
+
 def counter_crosses(a: str, b: str) -> dict[str, Column]:
     """Products and differences of two counters' logs."""
     la, lb = F.log1p(f"{a}_clicks"), F.log1p(f"{b}_clicks")

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from rankflow.functions.timeops import DAY, week_start
 
 
+def clicked(click: Column, exact: bool = False) -> Column:
+    """Whether a row is a click: any number above 0, or exactly 1 as request files have it; null is none."""
+    return F.coalesce(click, F.lit(0)) == 1 if exact else F.coalesce(click, F.lit(0)) > 0
+
+
 def build_requests(rows: DataFrame, order: str) -> DataFrame:
     """Click rows to one row per request: context of its first row, distinct items in order with their first cost.
 

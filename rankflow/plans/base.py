@@ -15,7 +15,7 @@ SCALE = 10_000.0
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as impressions: ``request, user, key, region, item, grp, line, cost, click, t``."""
+    """Order lines as impressions: ``request, user, key, region, item, grp, domain, line, cost, click, t``."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -27,6 +27,7 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("o_orderpriority", 1, 1).cast("long").alias("region"),
         F.col("l_partkey").alias("item"),
         F.col("l_suppkey").alias("grp"),
+        (F.col("l_suppkey") % 25).cast("long").alias("domain"),
         F.col("l_linenumber").cast("long").alias("line"),
         F.col("l_extendedprice").alias("cost"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).cast("long").alias("click"),
@@ -36,7 +37,7 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IMP = """imp AS (
   SELECT l_orderkey AS request, o_custkey AS user, CAST(c_nationkey AS BIGINT) AS key, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS region, l_partkey AS item,
-    l_suppkey AS grp, CAST(l_linenumber AS BIGINT) AS line, l_extendedprice AS cost, CAST(l_returnflag = 'R' AS BIGINT) AS click, CAST(epoch(o_orderdate) AS BIGINT) AS t
+    l_suppkey AS grp, CAST(l_suppkey % 25 AS BIGINT) AS domain, CAST(l_linenumber AS BIGINT) AS line, l_extendedprice AS cost, CAST(l_returnflag = 'R' AS BIGINT) AS click, CAST(epoch(o_orderdate) AS BIGINT) AS t
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -258,18 +260,21 @@ def leak_filter(spark, sf_dir):
     return found.filter("all_clicks > 0").select(F.col("id").alias("request"), F.col("all_clicks").alias("items"), F.col("all_sum").cast("long").alias("clicks"))
 
 
-FAMILIES = {"item": ["item"], "group": ["grp"], "query": ["key"], "region": ["region"], "user": ["user"], "query_item": ["key", "item"], "region_item": ["region", "item"], "user_item": ["user", "item"], "user_group": ["user", "grp"]}
+FAMILIES = {"item": ["item"], "group": ["grp"], "domain": ["domain"], "query": ["key"], "region": ["region"], "user": ["user"], "query_item": ["key", "item"], "region_item": ["region", "item"], "user_item": ["user", "item"], "user_group": ["user", "grp"]}
+
+
+WINDOWS = {"d28": 28, "all": 0}
 
 
 def _family_sql(source: str, columns: str) -> str:
     return " UNION ALL ".join(f"SELECT '{f}' AS family, concat_ws('|', {', '.join(parts)}) AS key, {columns} FROM {source}" for f, parts in FAMILIES.items())
 
 
-def _asof_sql(time: str, where: str) -> tuple[str, ...]:
+def _asof_sql(time: str, where: str, windows: Mapping[str, int] = WINDOWS) -> tuple[str, ...]:
     window = lambda n: f"(PARTITION BY family, key ORDER BY t RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING)"
     parts = []
-    for name, size in (("d28", 28 * DAY), ("all", 10**10)):
-        w = window(size)
+    for name, days in windows.items():
+        w = window(days * DAY or 10**10)
         parts.append(f"CAST(coalesce(sum(event) OVER {w}, 0) AS BIGINT) AS {name}_clicks, round(coalesce(sum(cost) OVER {w}, 0), 4) AS {name}_sum, round(coalesce((t - max(CASE WHEN event = 1 THEN t END) OVER {w}) / 86400.0::DOUBLE, 0), 6) AS {name}_age")
     return (
         IMP,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import tempfile
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; only a session on one machine may leave it unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir() + "/checkpoints/rankflow"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def parts(spark: SparkSession, paths: Sequence[str], name: str = "part") -> DataFrame:
+    """All rows of several files or folders of one table, whose columns may differ, with the file each row is from."""
+    found = spark.read.option("mergeSchema", "true").parquet(*paths)
+    return found.withColumn(name, found.metadataColumn("_metadata")["file_name"])
+
+
+def write_report(df: DataFrame, path: str, kind: str = "csv", most: int = 100_000) -> int:
+    """Write a small result as one CSV or JSON file with a header; returns its rows. More than ``most`` is an error."""
+    rows = df.limit(most + 1).count()
+    if kind not in ("csv", "json") or rows > most:
+        raise ValueError(f"a report is csv or json and has {most} rows at most")
+    out = df.coalesce(1).write.mode("overwrite")
+    out.option("header", "true").csv(path) if kind == "csv" else out.json(path)
+    return rows
+
+
+def require_scope(df: DataFrame, scope: str, column: str = "scope") -> DataFrame:
+    """``df`` without ``column``; a row whose scope is not the one that is asked for ends the query."""
+    told = F.when(F.col(column).eqNullSafe(F.lit(scope)), F.lit(scope)).otherwise(F.raise_error(F.concat(F.lit(f"asked for scope {scope}, found "), F.coalesce(F.col(column), F.lit("none")))))
+    return df.filter(told == scope).drop(column)
+
+
 def tolerant(df: DataFrame, wanted: Mapping[str, str], defaults: Mapping[str, Column] | None = None) -> DataFrame:
     """The ``wanted`` columns with their types; those that are absent are null or have their default."""
     have = {c.lower(): c for c in df.columns}

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.functions.timeops import epoch_seconds, week_start
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/checkpoints/rankflow"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from rankflow.sources.tables import shared_path
 
 
 def as_pattern(path: str) -> str:

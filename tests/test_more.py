@@ -110,3 +110,109 @@ def test_shuffle_is_decided_by_the_seed(spark):
     df = spark.range(50)
     orders = [[r.id for r in shuffled(df.repartition(n), ["id"], s).collect()] for n, s in ((1, 1), (6, 1), (1, 2))]
     assert orders[0] == orders[1] != orders[2] and sorted(orders[0]) == list(range(50))
+
+
+def test_order_statistics(spark):
+    from rankflow.operators.quantiles import interpolated, quantiles
+
+    rng = np.random.default_rng(2)
+    values = np.round(np.concatenate([rng.normal(0, 100, 3000), np.full(2000, 7.0), rng.pareto(1, 1000)]), 3)
+    frame = spark.createDataFrame([(float(v), "clash") for v in values] + [(None, "x")], "x double, _value string").repartition(7)
+    shares = [0.0, 0.1, 0.5, 0.505, 0.9, 0.999, 1.0]
+    got = interpolated(frame, "x", shares).first()["values"]
+    assert np.allclose(got, np.quantile(values, shares), rtol=1e-12)
+    row = quantiles(frame, "x", [0.25]).first()
+    assert row.upper == np.sort(values)[int(np.ceil(0.25 * (len(values) - 1)))] and interpolated(frame.limit(0), "x", [0.5]).first()["values"] == []
+
+
+def test_reports_scopes_and_parts(spark, tmp_path):
+    from rankflow.sources import tables
+
+    frame = spark.createDataFrame([(1, "full"), (2, "full")], "n long, scope string")
+    assert tables.write_report(frame, str(tmp_path / "r"), "csv") == 2 and len(list((tmp_path / "r").glob("*.csv"))) == 1
+    assert tables.write_report(frame, str(tmp_path / "j"), "json") == 2 and spark.read.json(str(tmp_path / "j")).count() == 2
+    for bad in ({"kind": "xml"}, {"most": 1}):
+        with pytest.raises(ValueError):
+            tables.write_report(frame, str(tmp_path / "x"), **bad)
+    assert tables.require_scope(frame, "full").columns == ["n"] and tables.require_scope(frame, "full").count() == 2
+    for rows in (frame, spark.createDataFrame([(1, None)], "n long, scope string")):
+        with pytest.raises(Exception, match="asked for scope offline"):
+            tables.require_scope(rows, "offline").collect()
+    spark.range(2).write.parquet(str(tmp_path / "p" / "a"))
+    spark.range(3).withColumn("more", F.lit(1)).write.parquet(str(tmp_path / "p" / "b"))
+    both = tables.parts(spark, [str(tmp_path / "p" / x) for x in "ab"])
+    assert both.count() == 5 and both.filter("more is null").count() == 2 and both.columns == ["id", "more", "part"]
+
+
+def test_compatibility_forms_and_word_tokens(spark):
+    from rankflow.functions import text as X
+
+    row = spark.createDataFrame([("ﬁne Ⅳ ё２", None)], "a string, b string").select(X.normalize(F.col("a"), compose=True).alias("n"), X.tokens(F.col("a"), fold=False).alias("w"), *(c.alias(k) for k, c in X.normalizers(F.col("b")).items())).first()
+    assert row.n == "fine iv е2" and row.w == ["ne", "ё"] and {row[k] for k in ("raw", "trim_lower", "nfkc", "whitespace", "project", "canonical")} == {""}
+
+
+def test_poisson_draws_have_their_mean(spark):
+    from rankflow.operators.stats import poisson_bounds
+
+    bounds = poisson_bounds()
+    assert bounds == sorted(bounds) and abs(bounds[0] / 2**32 - np.exp(-1)) < 1e-9 and len(bounds) > 8
+    assert abs(sum(1 - b / 2**32 for b in bounds) - 1) < 1e-6
+
+
+def test_tree_of_time_covers_exactly(spark):
+    from rankflow.operators.history import LEVELS, cover
+
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 2000, 200), rng.integers(0, 900, 200))] + [(0, 1 << LEVELS), (5, 5), (3, 1 << LEVELS)]
+    found = spark.createDataFrame(rows, "a long, b long").select("a", "b", cover(F.col("a"), F.col("b")).alias("c")).collect()
+    for r in found:
+        spans = sorted((x.node << x.level, (x.node + 1) << x.level) for x in r.c)
+        assert sum(hi - lo for lo, hi in spans) == r.b - r.a and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+        assert not spans or (spans[0][0], spans[-1][1]) == (r.a, r.b)
+
+
+@pytest.mark.parametrize("mode", ["recency", "clicks", "value", "mean_value", "shrunk"])
+def test_temporal_candidates_equal_brute_force(spark, mode):
+    from rankflow.operators import history
+
+    rng = np.random.default_rng(6)
+    events = [(int(rng.integers(0, 3)) or None, int(rng.integers(0, 12)), int(t) if rng.random() > 0.05 else None, float(rng.integers(1, 50))) for t in rng.integers(50, 400, 300)]
+    asked = [(i, int(rng.integers(1, 4)), int(t) if rng.random() > 0.1 else None) for i, t in enumerate(rng.integers(40, 420, 60))]
+    e = spark.createDataFrame(events, "key long, item long, t long, cost double").repartition(5)
+    r = spark.createDataFrame([*asked, asked[0], (99, None, 100)], "request long, key long, t long")
+    got = sorted((x.request, x["rank"], x["item"], x.n) for x in history.temporal_candidates(e, r, "key", mode, 3, 2).collect())
+    want = []
+    for request, key, t in [*asked, asked[0]]:
+        past = {}
+        for k, item, at, cost in events:
+            if k == key and (t is None or at is not None and at < t):
+                past.setdefault(item, []).append((at or 0, cost))
+        rows = []
+        for item, seen in past.items():
+            n, value, last = len(seen), sum(c for _, c in seen), max(a for a, _ in seen)
+            if n >= 2:
+                score = {"recency": last, "clicks": n, "value": value, "mean_value": value / n, "shrunk": value * n / (n + 20)}[mode]
+                rows.append((-round(score, 9), -n, -last, item))
+        want += [(request, place, item, -n) for place, (_, n, _, item) in enumerate(sorted(rows)[:3], 1)]
+    assert got == sorted(want)
+
+
+def test_counters_equal_brute_force(spark):
+    from rankflow.operators import history
+
+    rng = np.random.default_rng(8)
+    day = 86_400
+    events = [(f"k{rng.integers(0, 3)}", int(t), float(rng.integers(1, 9))) for t in rng.integers(0, 100 * day, 400)]
+    events += [(k, t, 1.0) for k, t, _ in events[:30]]
+    probes = [(i, f"k{rng.integers(0, 4)}", int(t)) for i, t in enumerate(rng.integers(-day, 110 * day, 80))] + [(900 + i, k, t) for i, (k, t, _) in enumerate(events[:20])] + [(0, "k1", 5 * day), (1000, "k0", None)]
+    e = spark.createDataFrame([("f", *x) for x in events], "family string, key string, t long, cost double").repartition(4)
+    p = spark.createDataFrame([(i, "f", k, t) for i, k, t in probes], "id long, family string, key string, t long")
+    got = sorted((r.id, r.w_clicks, r.w_sum, round(r.w_age, 6), r.m_clicks, r.all_clicks, r.all_sum, round(r.all_age, 6), r.all_present) for r in history.asof(e, p, {"w": 7, "m": 28, "all": 0}, 40 * day).collect())
+    want = []
+    for i, k, t in probes:
+        t = 40 * day if t is None else t
+        seen = [(a, c) for x, a, c in events if x == k and a < t]
+        near = [(a, c) for a, c in seen if a >= t - 7 * day]
+        age = lambda rows: round((t - max(a for a, _ in rows)) / day, 6) if rows else 0.0
+        want.append((i, len(near), sum(c for _, c in near), age(near), len([a for a, _ in seen if a >= t - 28 * day]), len(seen), sum(c for _, c in seen), age(seen), int(bool(seen))))
+    assert got == sorted(want)
