@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions import text as X
+from rankflow.functions.hashing import bucket
 from rankflow.functions.numeric import min_max, z_score
 from rankflow.functions.timeops import DAY
 from rankflow.operators.quantiles import interpolated
@@ -77,6 +78,77 @@ def text_match(query: Column, title: Column) -> dict[str, Column]:
     }
 
 
+def base_features(query: Column, title: Column, text: Column) -> dict[str, Column]:
+    """Score, sources, lengths, overlaps and history of a candidate; the row has ``score, sources, cost, clicks, value, in_query, in_region``."""
+    q, t, b = (F.array_distinct(X.tokens(c)) for c in (query, title, text))
+    qn, tn, bn = (X.normalize(c) for c in (query, title, text))
+    log = lambda c: F.log1p(F.greatest(F.lit(0.0), F.coalesce(F.col(c).cast("double"), F.lit(0.0))))
+    return {
+        "fused_score": F.col("score"),
+        "sources": F.col("sources").cast("double"),
+        **{f"{n}_chars": F.length(c).cast("double") for n, c in (("query", qn), ("title", tn), ("text", bn))},
+        **{f"{n}_tokens": F.size(c).cast("double") for n, c in (("query", q), ("title", t), ("text", b))},
+        "title_overlap": X.overlap(q, t).cast("double"),
+        "text_overlap": X.overlap(q, b).cast("double"),
+        "any_overlap": X.overlap(q, F.array_union(t, b)).cast("double"),
+        "title_jaccard": X.jaccard(q, t),
+        "text_jaccard": X.jaccard(q, b),
+        "phrase_in_title": ((F.length(qn) > 0) & F.contains(tn, qn)).cast("double"),
+        "log_cost": log("cost"),
+        "log_history_clicks": log("clicks"),
+        "log_history_value": log("value"),
+        "in_query_history": F.coalesce(F.col("in_query"), F.lit(False)).cast("double"),
+        "in_region_history": F.coalesce(F.col("in_region"), F.lit(False)).cast("double"),
+    }
+
+
+def numbered_or_missing(name: str, value: Column, step: int | None = None) -> dict[str, Column]:
+    """A number with 0 for a missing one, whether it is missing, and, with ``step``, its bucket."""
+    number = F.coalesce(value.cast("double"), F.lit(0.0))
+    out = {name: number, f"{name}_missing": value.isNull().cast("double")}
+    return out | ({f"{name}_bucket": F.floor(number / step).cast("double")} if step else {})
+
+
+def hashed_or_missing(name: str, value: Column) -> dict[str, Column]:
+    """A hash bucket of a name, 0 for a missing or empty one, and whether it is."""
+    known = F.coalesce(value.cast("string"), F.lit(""))
+    return {f"{name}_hash": bucket(known).cast("double"), f"{name}_missing": (known == "").cast("double")}
+
+
+def request_features(query: Column) -> dict[str, Column]:
+    """Context of the request: ``region, user, device, age, gender, income`` and the kinds of its query's characters."""
+    text = X.normalize(query)
+    return {
+        **numbered_or_missing("region", F.col("region")),
+        "user_present": F.col("user").isNotNull().cast("double"),
+        **hashed_or_missing("device", F.col("device")),
+        **numbered_or_missing("age", F.col("age"), 10),
+        **numbered_or_missing("gender", F.col("gender")),
+        **{f"query_{n}": X.share(text, p) for n, p in (("digits", "[0-9]"), ("cyrillic", "[а-яё]"), ("latin", "[a-z]"))},
+        **numbered_or_missing("income", F.col("income"), 1),
+    }
+
+
+def static_features(url: Column, title: Column, text: Column) -> dict[str, Column]:
+    """What a candidate is by itself and in its group and domain, as ``group_stats`` joins them."""
+    cost = F.coalesce(F.col("cost"), F.lit(0.0))
+    number = F.greatest(F.lit(0.0), F.coalesce(F.col("price"), F.lit(0.0)))
+    return {
+        "cost": cost,
+        "cost_missing": F.col("cost").isNull().cast("double"),
+        **numbered_or_missing("price", F.col("price")),
+        "log_price": F.log1p(number),
+        **{k: v for n in ("group", "client", "domain") for k, v in hashed_or_missing(n, F.col(n)).items()},
+        "url_chars": F.length(X.normalize(url)).cast("double"),
+        "url_tokens": F.size(F.array_distinct(X.tokens(url))).cast("double"),
+        **{f"{n}_digits": X.share(X.normalize(c), "[0-9]") for n, c in (("url", url), ("title", title), ("text", text))},
+        **{f"{n}_missing": (X.normalize(c) == "").cast("double") for n, c in (("title", title), ("text", text))},
+        **{f"log_{n}_items": F.log1p(F.coalesce(F.col(f"{n}_items"), F.lit(0)).cast("double")) for n in ("group", "domain")},
+        **{f"{n}_mean": F.coalesce(F.col(f"{n}_mean"), F.lit(0.0)) for n in ("group", "domain")},
+        **{f"cost_to_{n}_mean": X.ratio(cost, F.coalesce(F.col(f"{n}_mean"), F.lit(0.0))) for n in ("group", "domain")},
+    }
+
+
 def group_stats(catalog: DataFrame, group: str, cost: str) -> DataFrame:
     """Items, and mean cost with a missing one counting as 0, of each item's group, joined to the items."""
     stats = catalog.groupBy(group).agg(F.count(F.lit(1)).alias(f"{group}_items"), F.avg(F.coalesce(F.col(cost), F.lit(0.0))).alias(f"{group}_mean"))

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from rankflow.functions import sql as S
 from rankflow.functions import text as X
-
 from rankflow.operators import features, history, metrics, ranking
 from rankflow.operators import requests as R
 from rankflow.plans import ranking_queries
-from rankflow.plans.base import BOUNDARY, EXACT, IMP, PAST, REQUESTS, SCALE, STANDARD, TRUTH, Registry, candidates, clicks, exact_stats, impressions, past, requests, truth
+from rankflow.plans.base import BOUNDARY, EXACT, IMP, PAST, REQUESTS, SCALE, STANDARD, TRUTH, Registry, candidates, clicks, impressions, past, requests, truth
 from rankflow.plans.feature_queries import norm, tok
 from rankflow.plans.history_queries import FAMILIES, NINE, WEEK_SQL, _asof_sql, _filled, exact_key_ranked, rounded
 from rankflow.plans.ranking_queries import _GRID, MIDDLE, RRF, fused
@@ -311,3 +310,95 @@ def retrieval_gate(spark, sf_dir):
     gate = metrics.retrieval_gate(old, new.withColumn("union", F.col("short")), -1.0, 1.0, -0.5)
     gain = old.select(F.col("short").alias("_s")).crossJoin(new).select(F.round(F.col("short") - F.col("_s"), 9).alias("gain"))
     return gate.crossJoin(gain)  # one row each
+
+
+# The feature table
+
+
+def _bucket_sql(x: str) -> str:
+    digest = " || ".join(f"substr(sha1({x}), {2 * k + 1}, 2)" for k in range(7, -1, -1))
+    return f"CASE WHEN {x} = '' THEN 0 ELSE CAST(('0x' || {digest})::UBIGINT % 1000003 AS BIGINT) + 1 END"
+
+
+_CATALOG = """cat AS (SELECT p_partkey AS item, p_name AS title, p_type || ' ' || p_brand AS text, 'https://' || lower(p_type) || '.example/' || replace(p_name, ' ', '-') AS url, p_brand AS "group", CAST(p_size AS BIGINT) AS client,
+  CASE WHEN p_size % 5 = 0 THEN '' ELSE lower(p_type) END AS domain, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_retailprice END AS price FROM part),
+gst AS (SELECT "group", count(*) AS group_items, avg(coalesce(price, 0)) AS group_mean FROM cat GROUP BY 1), dst AS (SELECT domain, count(*) AS domain_items, avg(coalesce(price, 0)) AS domain_mean FROM cat GROUP BY 1)"""
+_ASKED = """ask AS (SELECT request, key, lower(o_orderpriority || ' ' || c_mktsegment || ' widget') AS query, substr(o_orderpriority, 1, 1)::BIGINT AS place, CASE WHEN c_nationkey > 0 THEN c_nationkey END AS region, CASE WHEN c_custkey % 11 > 0 THEN c_custkey END AS user,
+  CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS device, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 90 END AS age, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 END AS gender, CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal / 1000) END AS income
+  FROM req JOIN orders ON request = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+_POOL = """hq AS (SELECT key, item, count(*) AS clicks, round(sum(cost), 2) AS value FROM past GROUP BY ALL), hr AS (SELECT DISTINCT region AS place, item FROM past),
+fp AS (SELECT r.request, r.item, r.score, r.sources, r.cost, a.* EXCLUDE (request, key, place), c.* EXCLUDE (item), g.group_items, g.group_mean, d.domain_items, d.domain_mean, q.clicks, q.value, q.item IS NOT NULL AS in_query, h.item IS NOT NULL AS in_region
+  FROM rrf r JOIN ask a ON r.request = a.request JOIN cat c ON r.item = c.item JOIN gst g ON c."group" = g."group" JOIN dst d ON c.domain = d.domain LEFT JOIN hq q ON a.key = q.key AND r.item = q.item LEFT JOIN hr h ON a.place = h.place AND r.item = h.item)"""
+
+
+def _features_sql() -> dict[str, str]:
+    flag = lambda e: f"CAST({e} AS DOUBLE)"
+    toks = {c: f"list_distinct({tok(c)})" for c in ("query", "title", "text", "url")}
+    norms = {c: norm(c) for c in toks}
+    both = lambda a, b: f"len(list_intersect({a}, {b}))"
+    jac = lambda a, b: f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN {both(a, b)} / len(list_distinct(list_concat({a}, {b})))::DOUBLE ELSE 0 END"
+    log = lambda x: f"ln(1 + greatest(0, coalesce({x}, 0))::DOUBLE)"
+    share = lambda x, p: f"CASE WHEN length({x}) > 0 THEN len(regexp_extract_all({x}, '{p}')) / length({x})::DOUBLE ELSE 0 END"
+    out = {"fused_score": "score", "sources": "sources::DOUBLE"}
+    out |= {f"{c}_chars": f"length({norms[c]})::DOUBLE" for c in ("query", "title", "text", "url")}
+    out |= {f"{c}_tokens": f"len({toks[c]})::DOUBLE" for c in ("query", "title", "text", "url")}
+    out |= {"title_overlap": both(toks["query"], toks["title"]) + "::DOUBLE", "text_overlap": both(toks["query"], toks["text"]) + "::DOUBLE"}
+    out["any_overlap"] = both(toks["query"], f"list_distinct(list_concat({toks['title']}, {toks['text']}))") + "::DOUBLE"
+    out |= {"title_jaccard": jac(toks["query"], toks["title"]), "text_jaccard": jac(toks["query"], toks["text"])}
+    out["phrase_in_title"] = flag(f"length({norms['query']}) > 0 AND contains({norms['title']}, {norms['query']})")
+    out |= {"log_cost": log("cost"), "log_history_clicks": log("clicks"), "log_history_value": log("value"), "in_query_history": flag("in_query"), "in_region_history": flag("in_region")}
+    for name, step in (("region", 0), ("age", 10), ("gender", 0), ("income", 1), ("price", 0)):
+        out |= {name: f"coalesce({name}, 0)::DOUBLE", f"{name}_missing": flag(f"{name} IS NULL")}
+        if step:
+            out[f"{name}_bucket"] = f"floor(coalesce({name}, 0)::DOUBLE / {step})"
+    for name in ("device", "group", "client", "domain"):
+        x = f"coalesce(CAST(\"{name}\" AS VARCHAR), '')"
+        out |= {f"{name}_hash": f"({_bucket_sql(x)})::DOUBLE", f"{name}_missing": flag(f"{x} = ''")}
+    out["user_present"] = flag('"user" IS NOT NULL')
+    out |= {f"query_{n}": share(norms["query"], p) for n, p in (("digits", "[0-9]"), ("cyrillic", "[а-яё]"), ("latin", "[a-z]"))}
+    out |= {"cost": "coalesce(cost, 0)", "cost_missing": flag("cost IS NULL"), "log_price": log("price")}
+    out |= {f"{c}_digits": share(norms[c], "[0-9]") for c in ("url", "title", "text")} | {f"{c}_missing": flag(f"{norms[c]} = ''") for c in ("title", "text")}
+    for n in ("group", "domain"):
+        out |= {f"log_{n}_items": f"ln(1 + {n}_items::DOUBLE)", f"{n}_mean": f"{n}_mean", f"cost_to_{n}_mean": f"CASE WHEN abs({n}_mean) > 1e-12 THEN coalesce(cost, 0) / {n}_mean ELSE 0 END"}
+    return out
+
+
+_COLUMNS = _features_sql()
+
+
+@add(*STANDARD, RRF, _CATALOG, _ASKED, _POOL, "SELECT request, item, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in _COLUMNS.items()) + " FROM fp")
+def feature_table(spark, sf_dir):
+    """Base, request, income and static features of the fused pool, 59 columns under unique names."""
+    small, missing = F.col("p_size"), F.lit(None)
+    catalog = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("item"),
+        F.col("p_name").alias("title"),
+        F.concat("p_type", F.lit(" "), "p_brand").alias("text"),
+        F.concat(F.lit("https://"), F.lower("p_type"), F.lit(".example/"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("url"),
+        F.col("p_brand").alias("group"),
+        small.cast("long").alias("client"),
+        F.when(small % 5 == 0, "").otherwise(F.lower("p_type")).alias("domain"),
+        F.when(small % 7 == 0, missing).otherwise(F.col("p_retailprice")).alias("price"),
+    )
+    catalog = features.group_stats(features.group_stats(catalog, "group", "price"), "domain", "price")
+    user, balance = F.col("c_custkey"), F.col("c_acctbal")
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == user).select(
+        F.col("o_orderkey").alias("request"),
+        F.lower(F.concat("o_orderpriority", F.lit(" "), "c_mktsegment", F.lit(" widget"))).alias("query"),
+        F.substring("o_orderpriority", 1, 1).cast("long").alias("place"),
+        F.when(F.col("c_nationkey") > 0, F.col("c_nationkey")).alias("region"),
+        F.when(user % 11 > 0, user).alias("user"),
+        F.when(user % 5 > 0, F.col("c_mktsegment")).alias("device"),
+        F.when(user % 7 > 0, user % 90).alias("age"),
+        F.when(user % 3 > 0, user % 3).alias("gender"),
+        F.when(balance >= 0, F.floor(balance / 1000)).alias("income"),
+    )
+    asked = requests(spark, sf_dir).select("request", "key").join(orders, "request")
+    seen = past(spark, sf_dir)
+    by_query = seen.groupBy("key", "item").agg(F.count(F.lit(1)).alias("clicks"), F.round(F.sum("cost"), 2).alias("value"), F.lit(True).alias("in_query"))
+    by_region = seen.select(F.col("region").alias("place"), "item").distinct().withColumn("in_region", F.lit(True))
+    pool = fused(spark, sf_dir).select("request", "item", "score", "sources", "cost").join(asked, "request").join(catalog, "item").join(by_query, ["key", "item"], "left").join(by_region, ["place", "item"], "left")
+    query, title, text, url = (F.col(c) for c in ("query", "title", "text", "url"))
+    found = features.base_features(query, title, text) | features.request_features(query) | features.static_features(url, title, text)
+    features.check_names(["request", "item", *found])
+    return pool.select("request", "item", *(F.round(c, 6).alias(n) for n, c in found.items()))
