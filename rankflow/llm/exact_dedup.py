@@ -2,8 +2,8 @@
 
 Texts flow through a streaming aggregation keyed by digest whose state lives on disk (RocksDB) and never expires. The
 state of a digest is how many rows have it, the identifier of the row that stays, and that row's content locator (file
-and row). After the stream has run, the bytes of every further row of a digest (a hit) are checked against those at the
-locator, so a digest that two texts share can't merge them.
+and row). After the stream has run, the whole bytes of all rows of a digest that is found again (hits) are compared, so
+a digest that two texts share can't merge them.
 """
 
 from __future__ import annotations
@@ -11,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import fresh_name, join_salted, lower_ascii, materialize, maybe_in, prepare, without, work_path
+from rankflow.llm.common import fresh_name, looked_up, lower_ascii, materialize, maybe_in, prepare, without, work_path
 
 #: Input bytes that one micro-batch reads at most.
 BATCH_BYTES = str(256 << 30)
-#: Tasks to which the rows of one digest are dealt.
-SALTS = 16
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -30,12 +28,26 @@ _ROCKSDB = {
 def _keyed(source: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Digest of the normalised text, identifier and locator of every row."""
     return source.select(
-        F.unhex(F.sha2(lower_ascii(F.col(text_col)), 256)).alias("digest"),
-        F.col(id_col).alias("id"),
-        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"),
+        _digest(F.col(f"`{text_col}`")).alias("digest"),
+        F.col(f"`{id_col}`").alias("id"),
+        _locator(F.col("_metadata")).alias("locator"),
     )
 
 
+def _locator(metadata: Column) -> Column:
+    return F.struct(metadata["file_path"].alias("file"), metadata["row_index"].alias("row"))
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(lower_ascii(text), 256))
+
+
+def as_pattern(path: str) -> str:
+    """A pattern that only ``path`` matches, so that a stream's source may be a single file; it has no pattern characters."""
+    last = max(i for i, c in enumerate(path) if c.isalnum())
+    return f"{path[:last]}[{path[last]}]{path[last + 1 :]}"
+
+
 def run_stream(spark: SparkSession, path: str, schema, id_col: str, text_col: str, work: str, batch: dict | None = None) -> None:
     """Absorb what is new at ``path`` into the state in ``work``.
 
@@ -50,7 +62,7 @@ def run_stream(spark: SparkSession, path: str, schema, id_col: str, text_col: st
     options = batch or {"maxBytesPerTrigger": BATCH_BYTES}
     try:
         # As a pattern, the path may also be a single file.
-        texts = spark.readStream.schema(schema).options(**options).parquet(f"{path[:-1]}[{path[-1]}]")
+        texts = spark.readStream.schema(schema).options(**options).parquet(as_pattern(path.rstrip("/")))
         keyed = _keyed(texts, id_col, text_col)
         query = keyed.writeStream.format("parquet").option("path", f"{work}/rows").option("checkpointLocation", f"{work}/rows-checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
@@ -87,17 +99,16 @@ def verdicts(spark: SparkSession, path: str, schema, id_col: str = "doc_id", tex
     if not _exists(spark, f"{work}/states"):
         rows = _keyed(spark.read.schema(schema).parquet(path), id_col, text_col)
         return rows.select("id", "locator", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    shared = states(spark, work).filter("n > 1")
-    joined = join_salted(spark.read.parquet(f"{work}/rows"), shared, ["digest"], SALTS)
-    # Hits: rows whose digest another row has. Their bytes are read again and held against those at the locator.
-    wanted = materialize(joined.filter("n > 1").select("locator", "digest", (F.col("locator") == F.col("kept.locator")).alias("first")), "hits")
-    texts = spark.read.schema(schema).parquet(path).select(F.col(text_col).alias("text"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))
-    texts = maybe_in(texts, [F.col("locator.file"), F.col("locator.row")], wanted, [F.col("locator.file"), F.col("locator.row")])
-    hits = texts.join(wanted, "locator").select("locator", "digest", "first", lower_ascii(F.col("text")).alias("body"))
-    originals = hits.filter("first").select("digest", F.col("body").alias("original"))
-    differ = join_salted(hits.filter("not first"), originals, ["digest"], SALTS).filter(F.col("body") != F.col("original")).select("digest").distinct()
+    shared = materialize(states(spark, work).filter("n > 1"), "shared")
+    joined = looked_up(spark.read.parquet(f"{work}/rows"), ["digest"], shared)
+    # Hits: rows whose digest another row has. Their bytes are read again; of each digest the least and the greatest text
+    # of every task meet, and are the same unless two texts have one digest.
+    digest = [F.col("digest")]
+    texts = spark.read.schema(schema).parquet(path).select(_digest(F.col(f"`{text_col}`")).alias("digest"), lower_ascii(F.col(f"`{text_col}`")).alias("body"), _locator(F.col("_metadata")).alias("locator"))
+    hits = maybe_in(texts, digest, shared, digest)
+    differ = hits.groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).filter("lo <> hi").select("digest")
     differ = materialize(differ, "clashes")
-    if not differ.isEmpty():  # two texts with one digest: such digests are grouped by their bytes instead
+    if not differ.isEmpty():  # such digests are grouped by their bytes instead
         joined = _by_bytes(joined, hits, differ)
     alone = F.col("n").isNull()
     return joined.select(
@@ -126,12 +137,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def dedup_table(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", batch: dict | None = None) -> DataFrame:
-    """Verdicts on the Parquet table at ``path``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """Verdicts on the Parquet table at ``path``, which has no pattern characters: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Null texts count as empty; null ids stay and count as the smallest; of repeated rows one stays; an empty table gives
     an empty result; other columns are not read, so clashing names do no harm.
     """
-    schema = spark.read.parquet(path).select(id_col, text_col).schema
+    schema = spark.read.parquet(path).select(f"`{id_col}`", f"`{text_col}`").schema
     found = verdicts(spark, path, schema, id_col, text_col, batch)
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -139,30 +150,23 @@ def dedup_table(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", written: str | None = None) -> DataFrame:
     """The rows of ``documents`` that stay, with all their columns.
 
-    They are first written as the stream's source, unless they are the whole Parquet table at ``written``.
+    They are first written as the stream's source, unless they are the whole Parquet table at ``written``, as which
+    ``common.table_path`` knows a frame. Null texts count as empty; a null id counts as the smallest; of repeated rows
+    one stays; an empty table stays empty; columns may have any names.
     """
     spark = prepare(documents.sparkSession)
     path = written or work_path(spark, "dedup-rows")
     if not written:
         documents.write.parquet(path)
     rows = spark.read.schema(documents.schema).parquet(path)
-    gone = verdicts(spark, path, rows.select(id_col, text_col).schema, id_col, text_col).filter(~F.col("kept")).select("locator")
+    gone = verdicts(spark, path, rows.select(f"`{id_col}`", f"`{text_col}`").schema, id_col, text_col).filter(~F.col("kept")).select("locator")
     name, other = fresh_name(documents.columns, "_locator"), fresh_name(documents.columns, "_gone")
     gone = materialize(gone.withColumnRenamed("locator", other), "gone")
-    at: Column = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    at = _locator(rows.metadataColumn("_metadata"))
     key = lambda c: [F.col(f"{c}.file"), F.col(f"{c}.row")]
     return without(rows.withColumn(name, at), key(name), gone, key(other), F.col(name) == F.col(other)).drop(name)
 
 
-def whole_table(documents: DataFrame) -> str | None:
-    """Where the Parquet table is that ``documents`` are read from; None if that is not one file or one flat folder."""
-    files = documents.inputFiles()
-    if any("%" in file for file in files):  # an escaped name
-        return None
-    folders = {file.rsplit("/", 1)[0] for file in files}
-    return files[0] if len(files) == 1 else folders.pop() if len(folders) == 1 else None
-
-
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY body)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rankflow.llm.common import join_salted, materialize, prepare, without
+from rankflow.llm.common import looked_up, materialize, prepare, site, without
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -91,28 +91,36 @@ def rejected_hosts(measures: DataFrame, host: str, host_limit: float = HOST_LIMI
     return host_rates(measures, host).filter(F.greatest(*(F.col(f"rate_{k}") for k in rules())) > host_limit).select(host)
 
 
+def _domain(source: Column) -> Column:
+    """The domain of a source; null if it has none."""
+    host, _ = site(source.cast("string"))
+    return F.when(host != "", host)
+
+
 def judge(documents: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", host_limit: float = HOST_LIMIT) -> DataFrame:
     """Measures and verdicts, one row per row of ``documents``.
 
     Columns: ``doc_id``, the measures, ``base_failed``, ``host_rejected``, ``kept``. A null text has no words and so
-    fails; a null host is no host and is never rejected; repeated rows are repeated and count in their host; an empty
+    fails; the host is the domain of ``host_col``, a URL or a mere name, and one that is null or empty is never rejected; repeated rows are repeated and count in their host; an empty
     table gives an empty result; other columns are ignored, so clashing names do no harm.
     """
-    return verdicts(materialize(measured(documents, [documents[id_col].alias("doc_id"), documents[host_col].alias("host")], text_col), "measures"), "host", host_limit).drop("host")
+    return verdicts(materialize(measured(documents, [documents[id_col].alias("doc_id"), _domain(documents[host_col]).alias("host")], text_col), "measures"), "host", host_limit).drop("host")
 
 
 def verdicts(measures: DataFrame, host: str, host_limit: float = HOST_LIMIT) -> DataFrame:
     """``measures`` with ``base_failed``, ``host_rejected`` and ``kept``."""
     bad = rejected_hosts(measures, host, host_limit).withColumn("_bad", F.lit(True))
     base = rules()["few_words"] | rules()["repeats"]
-    joined = join_salted(measures, bad, [host])
+    joined = looked_up(measures, [host], bad)
     return joined.select(*measures.columns, base.alias("base_failed"), F.coalesce("_bad", F.lit(False)).alias("host_rejected")).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def keep_good(documents: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` that ``judge`` keeps, with all their columns.
 
-    Rows are written once with their measures; the rows of rejected hosts are then left out.
+    Rows are written once with their measures; the rows of rejected hosts are then left out. A null text has no words
+    and goes; a row without a host is judged by itself; repeated rows stay or go together; an empty table stays empty;
+    columns may have any names.
     """
     prepare(documents.sparkSession)
     whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document"))
@@ -125,14 +133,14 @@ def keep_good(documents: DataFrame, host_col: str = "source", text_col: str = "t
             found = np.array([measure(t.as_py() or "") for t in rows.field(text)], dtype=np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([rows, *(pa.array(found[:, i]) for i in range(len(MEASURES)))], names=schema.names)
 
-    rows = materialize(whole.mapInArrow(run, schema), "measured").withColumn("host", F.col(f"document.`{host_col}`"))
+    rows = materialize(whole.mapInArrow(run, schema), "measured").withColumn("host", _domain(F.col(f"document.`{host_col}`")))
     bad = materialize(rejected_hosts(rows.select("host", *MEASURES), "host").withColumnRenamed("host", "bad"), "hosts")
     passing = rows.filter(~(rules()["few_words"] | rules()["repeats"]))
     return without(passing, [F.col("host")], bad, [F.col("bad")], F.col("host") == F.col("bad")).select("document.*")
 
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, nullif(lower(regexp_replace(regexp_extract(regexp_replace(trim(source), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^([^/?#]*)', 1), '^(?:[^@]*@)?(?:www\.)?|:[0-9]*$', '', 'g')), '') AS source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines FROM d),
 t AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
 g AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM t),

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import join_salted, materialize, prepare
+from rankflow.llm.common import materialize, prepare, site
 
 #: Labelled documents that the classifier is fitted to at most; chosen by hash of their id.
 SAMPLE = 20_000
@@ -124,13 +124,6 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     return np.array([w for w, _ in heads], dtype=np.float32).T.copy(), np.array([b for _, b in heads])
 
 
-def site(source: Column) -> tuple[Column, Column]:
-    """Host and first folder of a source, which may be a URL or a mere name; the folder is empty if it has none."""
-    rest = F.regexp_replace(F.trim(source), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^(?:[^@]*@)?(?:www\.)?|:[0-9]*$", ""))
-    return host, F.regexp_extract(rest, r"^[^/?#]*/([^/?#]+)/", 1)
-
-
 def _weight(mean: Column, variance: Column) -> Column:
     """Documents that a beta prior with these moments is worth."""
     low, high = map(F.lit, PRIOR_DOCUMENTS)
@@ -180,7 +173,8 @@ def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     scored = materialize(source.mapInArrow(score, f"doc_id {kind}, host string, folder string, p double"), "scored")
     one, hosts, folders = posteriors(scored)
-    joined = join_salted(join_salted(scored, hosts, ["host"]), folders, ["host", "folder"]).crossJoin(F.broadcast(one))  # one row
+    # Spark splits the large partitions of these joins, so a hot host is dealt to many tasks.
+    joined = scored.join(hosts, "host", "left").join(folders, ["host", "folder"], "left").crossJoin(F.broadcast(one))  # one row
     others = lambda total, n, prior, weight: (F.greatest(total - F.col("p"), F.lit(0.0)) + prior * weight) / (n - 1 + weight)
     of_host = F.when(F.col("host_n").isNull(), F.col("mean")).otherwise(others(F.col("host_s"), F.col("host_n"), F.col("mean"), F.col("host_weight")))
     of_site = F.when(F.col("n").isNull(), of_host).otherwise(others(F.col("s"), F.col("n"), of_host, F.col("folder_weight")))

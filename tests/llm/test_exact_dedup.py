@@ -1,8 +1,11 @@
 import hashlib
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankflow.llm import exact_dedup
+from rankflow.llm.common import materialize, release, table_path, tracked, work_path
 from rankflow.llm.exact_dedup import dedup_table, keep_one, run_stream, states
 
 ROWS = [(1, "Hello"), (2, "hELLO"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, "x" * 100000), (8, "X" * 100000), (8, "X" * 100000), (None, "hello"), (None, "lone")]
@@ -72,3 +75,38 @@ def test_single_file(spark, tmp_path):
     path = str(tmp_path / "one.parquet")
     pq.write_table(pa.table({"doc_id": [1, 2], "text": ["A", "a"]}), path)
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in dedup_table(spark, path).collect()) == [(1, 2, False), (2, 2, True)]
+
+
+def test_any_names_and_paths(spark, tmp_path):
+    """A column named like Spark's own, paths with spaces or a closing slash, filtered frames."""
+    frame = spark.createDataFrame([(1, "A", "x"), (2, "a", "y"), (3, "b", "z")], "doc_id long, text string, _metadata string")
+    kept = keep_one(frame)
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect())) == [(2, "a", "y"), (3, "b", "z")]
+    for name in ("with space%41", "plain)", "x=1"):
+        path = tmp_path / name
+        frame.drop("_metadata").write.parquet(str(path))
+        assert sorted((r.doc_id, r.kept) for r in dedup_table(spark, f"{path}/").collect()) == [(1, False), (2, True), (3, True)]
+        table = spark.read.parquet(str(path))
+        assert table_path(table).endswith(name) and table_path(table.filter("doc_id < 3")) is None and table_path(frame) is None
+        assert [r.doc_id for r in keep_one(table.filter("doc_id = 1"), written=table_path(table.filter("doc_id = 1"))).collect()] == [1]
+        assert sorted(r.doc_id for r in keep_one(table, written=table_path(table)).collect()) == [2, 3]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        work_path(session, "x")
+    session.sparkContext.master = "local[2]"
+    assert work_path(session, "x").startswith("file://")
+
+
+def test_work_tables_of_two_pipelines_are_apart(spark, tmp_path):
+    mine, other = [], []
+    with tracked(mine):
+        one = materialize(spark.range(3), "one")
+    with tracked(other):
+        two = materialize(spark.range(4), "two")
+    release(spark, mine, table_path(two))
+    assert mine == [] and two.count() == 4
+    release(spark, other, table_path(two))
+    assert len(other) == 1 and two.count() == 4 and table_path(one) is not None

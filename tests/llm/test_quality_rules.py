@@ -5,7 +5,8 @@ from collections import Counter
 import duckdb
 
 from rankflow.llm import quality_rules
-from rankflow.llm.quality_rules import judge, keep_good, measure
+from rankflow.llm.common import site
+from rankflow.llm.quality_rules import host_rates, judge, keep_good, measure, measured
 
 
 def brute(text):
@@ -33,8 +34,10 @@ def docs(spark, tmp_path):
     rows = [(None, None, None), (1, "", "a"), (2, "x " * 60, "a"), (2, "x " * 60, "a")]
     for i in range(3, 200):
         host = "bad" if i % 4 == 0 else "good"
+        source = [f"https://www.{host}.Example:8080/{i}/page?x", f"http://me@{host}.example/{i}", f"{host.upper()}.example"][i % 3]
         words = [f"w{rng.randint(0, 10**6)}" for _ in range(80)]
-        rows.append((i, " ".join(w + "###" * (host == "bad") for w in words), host))
+        rows.append((i, " ".join(w + "###" * (host == "bad") for w in words), source))
+    rows.append((999, " ".join(f"v{i}" for i in range(70)), "https:///no/host"))
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, n_words string")
     frame.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     return frame
@@ -44,9 +47,11 @@ def test_hosts_and_sql(spark, tmp_path):
     frame = docs(spark, tmp_path)
     got = judge(frame)
     rows = got.collect()
-    assert {r.kept for r in rows if r.doc_id and r.doc_id > 2 and r.doc_id % 4} == {True}
+    assert {r.kept for r in rows if r.doc_id and r.doc_id > 2 and (r.doc_id % 4 or r.doc_id == 999)} == {True}
     assert {(r.host_rejected, r.kept) for r in rows if r.doc_id and r.doc_id > 2 and r.doc_id % 4 == 0} == {(True, False)}
     assert [r.kept for r in rows if r.doc_id is None or r.doc_id <= 2] == [False] * 4
+    rates = {r.host: r.documents for r in host_rates(measured(frame, [site(frame["source"])[0].alias("host")]), "host").collect()}
+    assert rates["bad.example"] == 49 and rates["good.example"] == 148
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * EXCLUDE (n_words) FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     sql = con.execute(quality_rules.ORACLE_SQL).fetchall()
