@@ -10,7 +10,7 @@ import hashlib
 import json
 import re
 from functools import lru_cache
-from math import log10
+from math import inf, log10
 
 import pyarrow as pa
 
@@ -31,8 +31,12 @@ _CONTEXT = re.compile(
 )
 #: Values that cost at least this many log10 guesses are secrets.
 LEAST_COST = 9.0
-#: Extra log10 guesses for each further span: where the cut is must be guessed too.
+#: Extra log10 guesses for each span: where the cut is must be guessed too.
 CUT_COST = 0.3
+#: Copies that a repeat may have: up to so many, a power of two, or as many as there are.
+COPIES = 64
+#: Characters of a date, at most.
+DATE_CHARS = 10
 _ROWS = ("`1234567890-=", "\tqwertyuiop[]\\", "\0asdfghjkl;'", "\0zxcvbnm,./")
 _COMMON = "password 123456 qwerty letmein admin welcome monkey dragon master login abc123 iloveyou changeme default secret test user root pass example".split()
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)")
@@ -66,42 +70,109 @@ def _alphabet(c: str) -> float:
     return log10(26) if c.isascii() and c.isalpha() else log10(33) if c.isascii() else log10(100)
 
 
-def guess_cost(value: str, ranks: dict[str, int], longest: int = 24) -> float:
-    """Log10 guesses of the cheapest segmentation, by dynamic programming over end positions; linear in the length."""
-    low = value.lower()
-    plain = low.translate(_LEET)
-    n = len(value)
-    best = [0.0] + [0.0] * n
-    dates = {}
+def word_cost(own: str, ranks: dict[str, int]) -> float | None:
+    """Log10 guesses of a word as it is written, None if it is none: its rank, its capitals, its digits for letters."""
+    low = own.lower()
+    found = []
+    for text, swapped in ((low, 0.0), (low.translate(_LEET), 0.3)):
+        if text in ranks and (not swapped or text != low):
+            capitals = 0.0 if own == low else 0.3 if own[1:] == low[1:] or own.isupper() else 0.3 * sum(map(str.isupper, own))
+            found.append(log10(ranks[text]) + capitals + swapped)
+    return min(found, default=None)
+
+
+def copies(most: int) -> list[int]:
+    """How often a repeat may copy its unit if it is found ``most`` times more."""
+    return sorted({*range(1, min(most, COPIES) + 1), *(1 << k for k in range(most.bit_length())), most} - {0})
+
+
+def repeats_at(low: str, at: int, seen: list[int]) -> list[tuple[int, int]]:
+    """Units that end at ``at`` and come again there: ``(period, times more)`` of each that is no repeat itself.
+
+    ``seen`` has the earlier positions of the two characters at ``at``, in order.
+    """
+    found: list[tuple[int, int]] = []
+    n, least = len(low), 1
+
+    def judge(p):
+        """How far what has period ``p`` reaches to the left and right of ``at``, if it comes again."""
+        if low[at - p : at] != low[at : at + p]:
+            return 0
+        right = p
+        while low.startswith(low[at : at + p], at + right) and at + right < n:
+            right += p
+        left = p
+        while left + p <= at and low.startswith(low[at - p : at], at - left - p):
+            left += p
+        found.append((p, right // p))
+        return min(left, right)
+
+    if at and at < n and low[at - 1] == low[at]:
+        least = judge(1) + 1
+    for k in range(len(seen) - 1, -1, -1):
+        p = at - seen[k]
+        if p >= max(2, least):
+            if at + p > n:
+                break
+            reach = judge(p)
+            if reach:
+                least = max(least, reach + 1)
+    return [(p, m) for p, m in found if not any(p % q == 0 and low[at - p : at] == low[at - q : at] * (p // q) for q, _ in found if q < p)]
+
+
+def guess_cost(value: str, ranks: dict[str, int], longest: int = 40, limit: float = inf) -> float:
+    """Log10 guesses of the cheapest segmentation of ``value``, by dynamic programming over positions.
+
+    A span is a word of ``ranks`` (three letters up to ``longest``), a date, a keyboard walk of three keys or more, a
+    repeat of the characters before it (of a unit that is no repeat itself, two equal characters at least with it),
+    or brute force. Each costs ``CUT_COST`` besides its own. Starts and ends of all kinds are tried everywhere. With a
+    ``limit``, positions that cost as much are not followed, and the search ends when the value is known to cost less
+    (then the result is some cost below the limit) or that much: a value without structure is given up after a few
+    characters, however long it is.
+    """
+    low, n = value.lower(), len(value)
+    best, brute = {0: 0.0}, {}
+    places: dict[str, list[int]] = {}
+    last = 0  # the furthest position that is reached
+
+    def reach(j, cost):
+        nonlocal last
+        if cost < limit and cost < best.get(j, inf):
+            best[j] = cost
+            last = max(last, j)
+
     for i in range(n):
-        if low[i].isdigit():
-            m = _DATE.match(low, i)
-            if m:
-                dates.setdefault(m.end(), []).append(i)
-    walk = 0
-    same = [0] * 9
-    for i in range(1, n + 1):
-        c = value[i - 1]
-        cheapest = best[i - 1] + _alphabet(c) + (CUT_COST if i == 1 else 0.0)
-        for size in range(3, min(i, longest) + 1):
-            for text in (low, plain):
-                rank = ranks.get(text[i - size : i])
-                if rank:
-                    own = value[i - size : i]
-                    case = 0.0 if own == own.lower() else 0.3 if own[1:] == own[1:].lower() or own.isupper() else 0.3 * sum(map(str.isupper, own))
-                    cheapest = min(cheapest, best[i - size] + log10(rank) + case + (0.3 if text[i - size : i] != low[i - size : i] else 0.0) + CUT_COST)
-        for j in dates.get(i, ()):
-            cheapest = min(cheapest, best[j] + log10(365 * 100) + CUT_COST)
-        walk = walk + 1 if i > 1 and low[i - 1] in _NEXT.get(low[i - 2], ()) else 1
-        if walk >= 3:
-            cheapest = min(cheapest, best[i - walk] + log10(47) + 0.45 * (walk - 1) + CUT_COST)
-        for period in range(1, 9):
-            same[period] = same[period] + 1 if i > period and low[i - 1] == low[i - 1 - period] else 0
-            whole = same[period] // period * period
-            if whole and whole + period >= 3:  # one period is guessed, then how often it comes
-                cheapest = min(cheapest, best[i - whole] + log10(1 + whole // period) + CUT_COST)
-        best[i] = cheapest
-    return best[n]
+        if i > last and i not in brute:
+            break
+        here = best.pop(i, inf) if i else 0.0
+        # Brute force goes on, or begins here.
+        step = min(brute.pop(i, inf), here + CUT_COST) + _alphabet(value[i])
+        if step < limit:
+            brute[i + 1] = step
+            reach(i + 1, step)
+        if here < limit:
+            start = here + CUT_COST
+            for size in range(3, min(n - i, longest) + 1):
+                cost = word_cost(value[i : i + size], ranks)
+                if cost is not None:
+                    reach(i + size, start + cost)
+            if low[i].isdigit():
+                for j in range(i + 4, min(n, i + DATE_CHARS) + 1):
+                    if _DATE.fullmatch(low, i, j):
+                        reach(j, start + log10(365 * 100))
+            j = i + 1
+            while j < n and low[j] in _NEXT.get(low[j - 1], ()) and start + log10(47) + 0.45 * (j - i) < limit:
+                j += 1
+                if j - i >= 3:
+                    reach(j, start + log10(47) + 0.45 * (j - i - 1))
+            for p, most in repeats_at(low, i, places.get(low[i : i + 2], [])):
+                for m in copies(most):
+                    if p * (m + 1) >= 3:
+                        reach(i + p * m, start + log10(1 + m))
+            if best.get(n, inf) < limit < inf:
+                return best[n]
+        places.setdefault(low[i : i + 2], []).append(i)
+    return min(best.get(n, inf), limit) if n else 0.0
 
 
 def find(text: str, ranks: dict[str, int], least_cost: float = LEAST_COST) -> list[tuple[int, str, int]]:
@@ -113,10 +184,15 @@ def find(text: str, ranks: dict[str, int], least_cost: float = LEAST_COST) -> li
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = sorted(found)
+    base, at, covered = sorted(found), 0, 0
     for m in _CONTEXT.finditer(text):
         k = m.lastindex
-        if k and not any(s <= m.start(k) and m.end(k) <= e for s, _, e in base) and guess_cost(m[k], ranks) >= least_cost:
+        if not k:
+            continue
+        while at < len(base) and base[at][0] <= m.start(k):  # both come by rising start
+            covered = max(covered, base[at][2])
+            at += 1
+        if m.end(k) > covered and guess_cost(m[k], ranks, limit=least_cost) >= least_cost:
             found.append((m.start(k), 3, m.end(k)))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 

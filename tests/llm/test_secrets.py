@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+from math import log10
 
 import public_tokenizers
 import pytest
@@ -39,26 +41,67 @@ def test_costly_values(value):
     assert guess_cost(value, RANKS) >= 9
 
 
-def test_cost_is_the_least_over_all_cuts():
-    ranks = {"abc": 5, "cab": 50, "bca": 500}
+SMALL = {"abc": 5, "cab": 50, "dew": 500, "sad": 7}
+KEYS = ["`1234567890-=", "\tqwertyuiop[]\\", "\0asdfghjkl;'", "\0zxcvbnm,./"]
+
+
+def near(a, b):
+    (r, c), (s, d) = ((next((i, row.index(x)) for i, row in enumerate(KEYS) if x in row)) for x in (a, b))
+    return a != b and abs(r - s) <= 1 and abs(c - d) <= 1
 
-    def every_cut(v):
-        if not v:
-            return 0.0
-        return min(cost_of_span(v[:k]) + every_cut(v[k:]) for k in range(1, len(v) + 1))
 
-    def cost_of_span(v):
-        from math import log10
+def spans(v, i, j):
+    """Costs of ``v[i:j]`` as each kind of span, without that of the cut."""
+    own = v[i:j]
+    low = own.lower()
+    for text, more in ((low, 0.0), (low.replace("4", "a").replace("3", "e").replace("0", "o"), 0.3)):
+        if text in SMALL and (more == 0 or text != low):
+            capitals = 0.0 if own == low else 0.3 if own[0].isupper() and own[1:] == low[1:] or own.isupper() else 0.3 * sum(c.isupper() for c in own)
+            yield log10(SMALL[text]) + capitals + more
+    if re.fullmatch(r"(19|20)\d\d([-/._]?(0[1-9]|1[0-2])([-/._]?(0[1-9]|[12]\d|3[01]))?)?|(0?[1-9]|[12]\d|3[01])[-/._]?(0?[1-9]|1[0-2])[-/._]?((19|20)\d\d|\d\d)", own):
+        yield log10(36500)
+    if j - i >= 3 and all(c.isalnum() for c in low) and all(near(x, y) for x, y in zip(low, low[1:])):
+        yield log10(47) + 0.45 * (j - i - 1)
+    for p in range(1, i + 1):
+        unit = v[i - p : i].lower()
+        root = any(unit == unit[:q] * (p // q) for q in range(1, p) if p % q == 0)
+        if (j - i) % p == 0 and not root and low == unit * ((j - i) // p) and j - i + p >= 3:
+            yield log10(1 + (j - i) // p)
+    yield sum(1.0 if c.isdigit() else log10(26) if c.isalpha() else log10(33) for c in own)
 
-        return log10(ranks[v]) + 0.3 if v in ranks else log10(26) * len(v)
 
+def every_cut(v):
+    least = [0.0]
+    for j in range(1, len(v) + 1):
+        least.append(min(least[i] + 0.3 + cost for i in range(j) for cost in spans(v, i, j)))
+    return least[-1]
+
+
+def test_cost_is_the_least_over_all_cuts():
+    """Words, dates, walks, repeats and brute force from all starts, against all segmentations."""
     rng = random.Random(3)
-    for _ in range(100):
-        v = "".join(rng.choice("abcp") for _ in range(rng.randint(1, 9)))
-        if re.search(r"(.{1,4})\1", v):
-            continue
-        whole = guess_cost(v, ranks)
-        assert whole <= every_cut(v) + 0.3 + 1e-9 and whole >= every_cut(v) - 1e-9
+    for k in range(1500):
+        pieces = ["abc", "Cab", "sAd", "s4d", "dew", "19", "2012", "07", "-", "31", "qwe", "asdf", "a", "b", "d", "3", "zx", "aa", "tyu"]
+        v = "".join(rng.choice(pieces[: rng.randint(3, len(pieces))]) for _ in range(rng.randint(1, 6)))[:14]
+        v += v[-rng.randint(0, len(v)) :] * rng.randint(0, 2)
+        expected = every_cut(v)
+        assert guess_cost(v, SMALL) == pytest.approx(expected), v
+        limit = rng.uniform(1, 12)
+        assert (guess_cost(v, SMALL, limit=limit) >= limit) == (expected >= limit), v
+
+
+def test_long_values_are_settled_soon():
+    rng = random.Random(8)
+    noise = "".join(rng.choice("GHJKLMNPQRSTUVWXYZ!$%&23456789") for _ in range(1_000_000))
+    began = time.perf_counter()
+    assert guess_cost(noise, RANKS, limit=9.0) == 9.0 and guess_cost("a" * 1_000_000, RANKS, limit=9.0) < 9 and guess_cost("qwerty" * 100_000, RANKS, limit=9.0) < 9
+    text = "token=abcdefg; " * 20_000
+    assert len(find(text, RANKS)) == 20_000
+    assert time.perf_counter() - began < 20
+
+
+def test_walks_and_words_begin_anywhere():
+    assert guess_cost("flowertyuiop", RANKS) < 8.6 and guess_cost("powertyuiop", RANKS) < 8.6
 
 
 def test_context_values_and_masks():
