@@ -103,9 +103,10 @@ def verdicts(spark: SparkSession, path: str, schema, id_col: str = "doc_id", tex
     joined = looked_up(spark.read.parquet(f"{work}/rows"), ["digest"], shared)
     # Hits: rows whose digest another row has. Their bytes are read again; of each digest the least and the greatest text
     # of every task meet, and are the same unless two texts have one digest.
-    digest = [F.col("digest")]
-    texts = spark.read.schema(schema).parquet(path).select(_digest(F.col(f"`{text_col}`")).alias("digest"), lower_ascii(F.col(f"`{text_col}`")).alias("body"), _locator(F.col("_metadata")).alias("locator"))
-    hits = maybe_in(texts, digest, shared, digest)
+    place = [F.col("locator.file"), F.col("locator.row")]
+    wanted = materialize(joined.filter("n > 1").select("locator"), "hits")
+    texts = spark.read.schema(schema).parquet(path).select(F.col(f"`{text_col}`").alias("text"), _locator(F.col("_metadata")).alias("locator"))
+    hits = maybe_in(texts, place, wanted, place).select(_digest(F.col("text")).alias("digest"), lower_ascii(F.col("text")).alias("body"), "locator")
     differ = hits.groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).filter("lo <> hi").select("digest")
     differ = materialize(differ, "clashes")
     if not differ.isEmpty():  # such digests are grouped by their bytes instead
@@ -139,8 +140,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def dedup_table(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", batch: dict | None = None) -> DataFrame:
     """Verdicts on the Parquet table at ``path``, which has no pattern characters: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
-    Null texts count as empty; null ids stay and count as the smallest; of repeated rows one stays; an empty table gives
-    an empty result; other columns are not read, so clashing names do no harm.
+    Null texts count as empty; null ids stay and count as the smallest; of repeated rows one stays; of rows with one text
+    and one id that with the largest locator; texts of any length are read whole; an empty table gives an empty result; other columns are not read, so clashing names do no harm.
     """
     schema = spark.read.parquet(path).select(f"`{id_col}`", f"`{text_col}`").schema
     found = verdicts(spark, path, schema, id_col, text_col, batch)
