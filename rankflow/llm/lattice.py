@@ -11,9 +11,9 @@ ambiguous; single bytes are pieces too, so every word has a segmentation.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from functools import lru_cache
-from math import log, log10
+from math import exp, log, log10
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ FREQUENT = 100_000
 COUNTED = 300_000
 #: Rounds of expectation maximisation, words that are handled together, bytes of a word that is handled alone.
 ROUNDS, TOGETHER, LONG = 2, 4096, 64
+#: Bytes of a very long word that are learned from at a time; scores are of the whole word.
+PORTION = 1 << 16
 #: Words that a task takes at a time.
 WORDS_PER_BLOCK = 1 << 16
 FOLDS, HELD_OUT = 7, 2
@@ -134,13 +136,13 @@ class Lattice:
         total += np.bincount(number, share, minlength=len(total))
 
     def log_probability(self, word: bytes) -> float:
-        """Of one word of any length, byte by byte."""
+        """Of one word of any length, byte by byte; it holds no more of it than the longest piece is."""
         text, longest = b" " + word, self.lengths[-1]
-        reach = [0.0] + [-np.inf] * len(text)
+        reach = deque([0.0], maxlen=longest)
         for e in range(1, len(text) + 1):
-            terms = [reach[s] + self.logs[i] for s in range(max(0, e - longest), e) if (i := self.number.get(text[s:e])) is not None]
-            top = max(terms)
-            reach[e] = top + log(sum(np.exp(t - top) for t in terms)) if top > -np.inf else top
+            terms = [reach[s - e] + self.logs[i] for s in range(max(0, e - longest), e) if (i := self.number.get(text[s:e])) is not None]
+            top = max(terms, default=-np.inf)
+            reach.append(top + log(sum(exp(t - top) for t in terms)) if top > -np.inf else top)
         return reach[-1]
 
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
@@ -233,9 +235,12 @@ def learn(words: DataFrame, path: str, n_train: int, n_ends: int, rounds: int =
             for batch in _gathered(batches):
                 found, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
                 for index, block in _by_length(found):
-                    if block is None:
-                        block = np.frombuffer(b" " + found[index[0]], np.uint8)[None, :]
-                    lattice.expected(block, counts[index], total)
+                    if block is not None:
+                        lattice.expected(block, counts[index], total)
+                        continue
+                    long = np.frombuffer(b" " + found[index[0]], np.uint8)
+                    for at in range(0, len(long), PORTION):
+                        lattice.expected(long[None, at : at + PORTION], counts[index], total)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "n"])
 
@@ -258,7 +263,7 @@ def score_texts(documents: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     Columns: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10
     probabilities). A null text is empty: its one token is the end. A null id counts as empty text and trains. Repeated
     rows are repeated and count each time. An empty table gives an empty result; other columns are ignored, so clashing
-    names do no harm.
+    names do no harm. Words of any length are scored whole; the model learns from very long ones by portions.
     """
     spark = prepare(documents.sparkSession)
     fold = F.pmod(F.crc32(F.coalesce(documents[id_col].cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))

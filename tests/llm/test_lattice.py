@@ -114,3 +114,15 @@ def test_held_out_texts_score_better_than_under_the_prior(spark):
     frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     total = lambda rounds: score_texts(frame, PATH, rounds=rounds).filter("held_out").agg({"score": "sum"}).first()[0]
     assert total(2) > total(1) > total(0)
+
+
+def test_very_long_words(spark):
+    """Learned by portions, scored whole, in memory that doesn't grow with them."""
+    pieces, prior = vocabulary(PATH)
+    lattice = Lattice(pieces, np.log(prior))
+    word = b"abcde" * 4000
+    block = np.frombuffer(b" " + word, np.uint8)[None, :]
+    assert lattice.log_probability(word) == pytest.approx(lattice.forward(block)[0][0, -1])
+    frame = spark.createDataFrame([(1, "x" * 200_000 + " short words"), (2, "short words")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in score_texts(frame, PATH).collect()}
+    assert rows[1].n_tokens == 4 and np.isfinite(rows[1].score) and rows[1].score < rows[2].score < 0
