@@ -314,8 +314,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     ``100 * intersection >= threshold * union`` of the sets of distinct ``words``-word shingles of the text in which A-Z
     are lower case. Fewer words are one shingle; a null or empty text has none and is linked with nothing. A null id is
     larger than any other; a component of null ids only has a null ``component_id`` and its rows stay; of repeated ids
-    all rows stay or go together. An empty table gives an empty result; other columns are ignored, so clashing names do
-    no harm.
+    all rows stay or go together. Texts of any length are read whole. An empty table gives an empty result; other columns
+    are ignored, so clashing names do no harm.
     """
     return _judged(documents, id_col, text_col, words, threshold, bands, rows, block).drop("text_id")
 

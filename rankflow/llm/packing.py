@@ -147,7 +147,9 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: i
 
     A document's ids end with ``end_id``; only longer ones are cut, the last piece may be shorter. Null or empty texts
     are a lone ``end_id``. Null ids, repeated ids and repeated rows are packed like any other row. An empty table gives
-    an empty result. Other columns are ignored, so clashing names do no harm.
+    an empty result. Other columns are ignored, so clashing names do no harm. Texts of any length are encoded whole.
+    Of pieces of one length, which are alike to the plan, the order by id, piece and content decides who goes where;
+    equal gaps are filled in the order in which their bins were planned.
     """
     spark = prepare(documents.sparkSession)
     pieces = materialize(tokenize(documents, tokenizer_path, end_id, capacity, id_col, text_col, with_ids), "pieces")

@@ -101,8 +101,9 @@ def judge(documents: DataFrame, id_col: str = "doc_id", host_col: str = "source"
     """Measures and verdicts, one row per row of ``documents``.
 
     Columns: ``doc_id``, the measures, ``base_failed``, ``host_rejected``, ``kept``. A null text has no words and so
-    fails; the host is the domain of ``host_col``, a URL or a mere name, and one that is null or empty is never rejected; repeated rows are repeated and count in their host; an empty
-    table gives an empty result; other columns are ignored, so clashing names do no harm.
+    fails; the host is the domain of ``host_col``, a URL or a mere name, and one that is null or empty is never rejected;
+    repeated rows are repeated and count in their host; texts of any length are measured whole; a rate at the limit is no
+    failure; an empty table gives an empty result; other columns are ignored, so clashing names do no harm.
     """
     return verdicts(materialize(measured(documents, [documents[id_col].alias("doc_id"), _domain(documents[host_col]).alias("host")], text_col), "measures"), "host", host_limit).drop("host")
 

@@ -154,7 +154,8 @@ def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     ``quality`` (both combined) and ``kept``. A null text is empty; a null or empty site has the global mean; rows of
     ``labels`` with nulls are ignored and of several for one id the worst counts; a kind that the
     labels don't show both ways is no evidence. Repeated rows are repeated; an empty table gives an empty result; other
-    columns are ignored, so clashing names do no harm.
+    columns are ignored, so clashing names do no harm. Texts of any length are read whole. Labelled rows are chosen by
+    the hash of their id, equal hashes by the id; verdicts need no order.
     """
     spark = prepare(documents.sparkSession)
     host, folder = site(F.coalesce(documents[site_col].cast("string"), F.lit("")))
