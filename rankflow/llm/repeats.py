@@ -6,8 +6,10 @@ contexts whose anchor is alone are settled, as are those that all agree. What is
 settled alike by the core that all windows of a slice share. The slices that still disagree go, by core, to tasks that
 build a Burrows-Wheeler transform for each of two shards and merge them by iterative interleave refinement: after k
 steps suffixes with the same first k symbols form a block. The core being one symbol, windows are as many symbols as a
-slice has windows, and after so many steps the blocks of two or more are the repeated strings. A core that very many slices share is settled window by window instead, by hash and with no task for
-the group.
+slice has windows, and after so many steps the blocks of two or more are the repeated strings. The slices of a core that
+very many share are cut again into narrower ones, whose cores are longer and so shared by fewer unlike slices; a slice of
+one window is its core, and all of one core are the same string. So no task gets more than a stated number of slices of
+one core, whatever the texts hold.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from rankflow.llm.common import materialize, maybe_in, prepare
 
 LENGTH, GRAM, SLICE = 400, 96, 32
-#: Slices of one core up to which they meet in a task; beyond it windows are counted by hash.
-MOST_MEMBERS = 2000
+#: Slices of one core up to which they meet in a task; beyond it they are cut into ``NARROWER`` times narrower ones.
+MOST_MEMBERS, NARROWER = 2000, 4
 #: Symbols that a merge takes at a time, and that a task has; symbols of bytes come first, then these.
 MERGE_SYMBOLS, TASK_SYMBOLS = 256 << 10, 4 << 20
 SEPARATOR, END, CORES, MOST_CORES = 256, 257, 257, 60_000
@@ -290,7 +292,9 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     One row per row of ``documents``: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``. A null text is
     empty; texts shorter than ``length`` keep all; null ids stay; repeated rows are copies of each other and lose all;
-    an empty table gives an empty result; other columns are ignored, so clashing names do no harm.
+    an empty table gives an empty result; other columns are ignored, so clashing names do no harm. Very long texts are
+    hashed in portions; overlapping repeats count each. Equal contexts, slices and cores are known by their length,
+    offset and two independent 64-bit digests; what differs is told apart by bytes.
     """
     spark = prepare(documents.sparkSession)
     source = documents.select(documents[id_col].alias("doc_id"), F.coalesce(documents[text_col], F.lit("")).cast("binary").alias("body"))
@@ -320,14 +324,19 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     pick = lambda agree: F.transform(F.filter("occ", lambda c: c["agree"] == agree), lambda c: F.struct(c["lo"], c["n"], c["anchor"]))
     texts = materialize(chosen.select(F.monotonically_increasing_id().alias("sid"), "text_id", "body", "copies", "twice", pick(True).alias("whole"), pick(False).alias("parts")), "repeat-texts")
 
-    cut = materialize(_sliced(texts.filter(F.size("parts") > 0), "parts", width, length, gram), "repeat-slices")
-    judged = materialize(cut.join(_agreeing(cut, "core", "whole", F.lit(1)), "core"), "repeat-judged")
-    hits = judged.filter("agree").select("sid", "lo", (F.col("lo") + F.col("n")).alias("hi"))
-    hits = hits.unionByName(_merged(judged.filter(~F.col("agree") & (F.col("members") <= most_members)), texts, length, width))
-    hot = judged.filter(~F.col("agree") & (F.col("members") > most_members))
-    hot = hot.groupBy("sid").agg(F.collect_list(F.struct("lo", "n", (F.col("lo") + length - gram).alias("anchor"))).alias("parts"))
-    windows = _sliced(texts.select("sid", "body").join(hot, "sid"), "parts", 1, length, gram)
-    hits = hits.unionByName(windows.join(_agreeing(windows, "core", "whole", F.lit(1)).filter("agree"), "core").select("sid", "lo", (F.col("lo") + F.col("n")).alias("hi")))
+    pending, hits = texts.filter(F.size("parts") > 0).select("sid", "body", "parts"), None
+    while hits is None or not pending.isEmpty():
+        cut = materialize(_sliced(pending, "parts", width, length, gram), "repeat-slices")
+        judged = materialize(cut.join(_agreeing(cut, "core", "whole", F.lit(1)), "core"), "repeat-judged")
+        found = judged.filter("agree").select("sid", "lo", (F.col("lo") + F.col("n")).alias("hi"))
+        hits = found if hits is None else hits.unionByName(found)
+        if width == 1:
+            break
+        hits = hits.unionByName(_merged(judged.filter(~F.col("agree") & (F.col("members") <= most_members)), texts, length, width))
+        hot = judged.filter(~F.col("agree") & (F.col("members") > most_members))
+        hot = hot.groupBy("sid").agg(F.collect_list(F.struct("lo", "n", (F.col("lo") - F.col("skip") + length - gram).alias("anchor"))).alias("parts"))
+        pending = materialize(texts.select("sid", "body").join(hot, "sid"), "repeat-pending")
+        width = max(1, width // NARROWER)
     hits = hits.groupBy("sid").agg(F.collect_list(F.struct("lo", "hi")).alias("hits"))
 
     def remove(batches):
