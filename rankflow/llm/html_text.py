@@ -23,15 +23,22 @@ _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-_DROP = set("script style title textarea xmp iframe noembed noframes noscript template head nav footer aside form button select input svg math canvas audio video object dialog menu".split())
+#: What is never text, page furniture by its element, and what belongs to a form.
+_DROP = set("script style title textarea xmp iframe noembed noframes noscript template head nav footer aside form select input dialog menu".split())
 _DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
-_NAMES = re.compile(r"[a-z0-9]+")
+#: Words of names: runs of lower-case letters or digits, and of capitals before them.
+_NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Names of menus, headers, footers, sidebars, notices, adverts and forms; the last word of a name says what it is.
 _BAD = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments cookie cookies consent disqus gdpr footer foot form header login masthead menu menus modal nav navbar navigation newsletter notice notices "
-    "overlay pager pagination paywall popup promo promos promotion related recommended recommendations respond replies share sharing shareaddthis sidebar sidebars signup skyscraper social sponsor sponsored sponsors subscribe subscription tags toolbar tooltip widget widgets".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners consent cookie cookies disclaimer footer foot form forms gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices "
+    "overlay pager pagination paywall popup related recommended recommendations share sharing shares sidebar sidebars signup skyscraper sponsor sponsored sponsors subscribe subscription".split()
 )
+#: Names of reader comments, wherever they stand in a name.
+_COMMENTS = {"comment", "comments", "disqus", "respond", "replies"}
 _GOOD = set("article articles body content entry main page post posts story text blog hentry prose".split())
 _PARAGRAPH = {"p", "pre", "td", "blockquote", "li", "dd", "div", "section", "article", "main", "body", "figcaption", "details", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: What may be called a header within an article: its head line.
+_HEADINGS = {"header", "h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSES_P = _BLOCK - {"body", "html", "caption", "legend", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _SAME = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
@@ -39,10 +46,29 @@ _SAME = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "optio
 class Node:
     """An element; ``parts`` are its texts and child elements in order."""
 
-    __slots__ = ("tag", "parent", "parts", "drop", "bias", "points")
+    __slots__ = ("tag", "parent", "parts", "drop", "bias", "points", "inside")
 
     def __init__(self, tag, parent, drop=False, bias=0):
         self.tag, self.parent, self.parts, self.drop, self.bias, self.points = tag, parent, [], drop, bias, 0.0
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+
+
+def name_says(name: str) -> int:
+    """1 if a class or id names the main text, -1 if it names what an article is not, else 0.
+
+    The last word that is known decides: ``main-menu`` is a menu, ``post-body`` a body. Words that only place or number
+    an element (``ad-slot-1``, ``sidebar_left``) are not known, so the word before them decides. A name with a word for
+    reader comments is theirs.
+    """
+    words = [w.lower() for w in _NAMES.findall(name)]
+    if _COMMENTS.intersection(words):
+        return -1
+    for k in range(len(words) - 1, -1, -1):
+        if words[k] in _BAD:
+            return -1
+        if words[k] in _GOOD:  # the content of a sidebar is not the content of the page
+            return -1 if _BAD.intersection(words[:k]) else 1
+    return 0
 
 
 def _judge(tag: str, attributes: str, inside_article: bool) -> tuple[bool, int]:
@@ -51,16 +77,13 @@ def _judge(tag: str, attributes: str, inside_article: bool) -> tuple[bool, int]:
     bias = 25 if tag in ("article", "main") else 0
     if attributes.strip(" /\n\t"):
         for m in _ATTR.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                names = set(_NAMES.findall(value))
-                good = names & _GOOD
-                bias += 25 if good else 0
-                if names & _BAD and tag not in ("html", "body", "article", "main"):
-                    if not good or "comment" in names or "comments" in names or "sidebar" in names:
-                        drop = True
-                    bias -= 25
-            elif key == "role" and value in _DROP_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                says = [name_says(name) for name in value.split()]
+                bias += 25 * ((1 in says) - (-1 in says))
+                if -1 in says and tag not in ("html", "body", "article", "main") and not (tag in _HEADINGS and inside_article):
+                    drop = True
+            elif key == "role" and value.lower() in _DROP_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
                 drop = drop or tag not in ("html", "body")
     return drop, bias
 
@@ -68,8 +91,8 @@ def _judge(tag: str, attributes: str, inside_article: bool) -> tuple[bool, int]:
 def parse(page: str) -> Node:
     """A forgiving tree of the page: unclosed elements end where their container does."""
     root = Node("html", None)
-    at, stack, pos, tag_re = root, ["html"], 0, _TAG
-    n, articles = len(page), 0
+    at, pos, tag_re = root, 0, _TAG
+    n, seen = len(page), set()
     while pos < n:
         lt = page.find("<", pos)
         if lt < 0:
@@ -94,7 +117,7 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = at
+            node = at if tag in seen else root
             while node is not root and node.tag != tag:
                 if tag not in _BLOCK and node.tag in _BLOCK:
                     node = root  # a stray end of an inline element stops at its block
@@ -125,9 +148,10 @@ def parse(page: str) -> Node:
             at.parts.append(" ")
             continue
         else:
-            drop, bias = _judge(tag, m[3], _inside_article(at))
+            drop, bias = _judge(tag, m[3], at.inside)
         if tag == "html":
             continue
+        seen.add(tag)
         child = Node(tag, at, drop, bias)
         at.parts.append(child)
         if tag in _VOID:
@@ -141,14 +165,6 @@ def parse(page: str) -> Node:
     return root
 
 
-def _inside_article(node) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks of ``node`` in page order, white space as one space, without what is left out."""
     found: list[str] = []
@@ -256,7 +272,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Main text of every page: ``page_id``, ``url``, ``text``, ``n_chars``; one row per row of ``pages``.
 
     A null or empty page has an empty text. Null ids and urls stay; repeated rows are repeated; an empty table gives an
-    empty result; other columns are ignored, so clashing names do no harm. A ``br`` counts as white space.
+    empty result; other columns are ignored, so clashing names do no harm. A ``br`` counts as white space. Of containers
+    with equal points the one whose first paragraph comes last in the page is the best. Pages of any length are read in
+    one pass.
     """
     prepare(pages.sparkSession)
     source = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
