@@ -16,12 +16,14 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
 
     Columns ``lower`` and ``upper``. Nulls don't count; repeated values count each; a column without values gives no
     rows. Distinct values are counted first and cut into pieces at approximate quantiles; the pieces' sums say in which
-    piece a rank is, and only those pieces are ordered.
+    piece a rank is, and only those pieces are ordered. The cuts are found at once: a sketch depends on the order in which
+    its parts come, so one that the plan evaluates twice may cut in two ways.
     """
     value = F.col(column).cast("double").alias("_value")
     counts = df.select(value).filter("_value is not null").groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = counts.agg(F.percentile_approx("_value", [k / PIECES for k in range(1, PIECES)], ACCURACY).alias("_cuts"), F.sum("_n").alias("_all"))
-    placed = counts.crossJoin(F.broadcast(cuts)).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col("_value")))).drop("_cuts")  # one row
+    cuts = counts.agg(F.percentile_approx("_value", [k / PIECES for k in range(1, PIECES)], ACCURACY).alias("cuts"), F.sum("_n").alias("all")).first()
+    found = F.array(*(F.lit(float(c)) for c in cuts["cuts"] or ())).cast("array<double>")
+    placed = counts.withColumn("_piece", F.size(F.filter(found, lambda c: c < F.col("_value")))).withColumn("_all", F.lit(cuts["all"]).cast("long"))
     upto = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row a piece
     pieces = placed.groupBy("_piece").agg(F.sum("_n").alias("_rows"), F.first("_all").alias("_all")).withColumn("_start", F.coalesce(F.sum("_rows").over(upto), F.lit(0)))
     rank = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
