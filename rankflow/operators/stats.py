@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import exp, factorial
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,27 +62,49 @@ def seeded(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", *keys, F.lit(seed)).cast("binary"))
 
 
-def permutation_importance(rows: DataFrame, columns: Sequence[str], score, k: int, repeats: int = 3, seed: int = 5) -> DataFrame:
+def permutation_importance(rows: DataFrame, columns: Sequence[str], score, k: int, repeats: int = 3, seed: int = 5, scored: str | None = None) -> DataFrame:
     """Mean drop in value capture when a column's values change places, by ``score(df) -> df with "score"``.
 
     Values change places by two row numbers over the same rows in different orders, within the 4096 parts that the
-    first digits of one digest make; requests and items must be unique together.
+    first digits of one digest make; requests and items must be unique together. ``scored`` names a flag that all rows of
+    a request share: requests without it must have no cost, so they capture 0 and are counted but not scored.
+
+    A part is one group, ordered in both ways at once: rows are shuffled once a turn, and only those of scored requests
+    come back, each with the values that it would have of all columns.
     """
     from rankflow.operators.metrics import value_capture
 
-    mean = lambda df: value_capture(score(df), k).agg(F.avg("capture").alias("capture"))
-    base = mean(rows).withColumn("_base", F.col("capture")).select("_base")
+    known = rows if scored is None else rows.filter(F.col(scored))
+    others = [c for c in rows.columns if c not in ("request", "item", *columns)]
+    n_requests = rows.select("request").distinct().agg(F.count(F.lit(1)).alias("_requests"))
+    base = value_capture(score(known), k).agg(F.coalesce(F.sum("capture"), F.lit(0.0)).alias("_base")).crossJoin(n_requests)  # one row each
+    kept = [f.simpleString().replace(":", " ", 1) for f in rows.schema.fields]
     out = None
-    for column in columns:
-        for n in range(repeats):
-            places = rows.withColumn("_part", F.substring(seeded(n, "request", "item"), 1, 3))
-            w = Window.partitionBy("_part")
-            there = places.select("_part", F.row_number().over(w.orderBy(seeded(seed + n + 1, "request", "item"), "request", "item")).alias("_at"), F.col(column).alias("_moved"))
-            here = places.withColumn("_at", F.row_number().over(w.orderBy("request", "item")))
-            moved = here.join(there, ["_part", "_at"]).withColumn(column, F.col("_moved")).select(*rows.columns)
-            one = mean(moved).select(F.lit(column).alias("feature"), F.lit(n).alias("turn"), "capture")
-            out = one if out is None else out.unionByName(one)
-    return out.crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("_base") - F.col("capture")).alias("drop"))  # one row
+    for n in range(repeats):
+        turn = F.unhex(seeded(seed + n + 1, "request", "item"))
+        places = rows.select(*rows.columns, F.substring(seeded(n, "request", "item"), 1, 3).alias("_part"))
+        moved = places.repartition("_part").withColumn("_turn", turn).groupBy("_part").applyInArrow(_exchange(list(rows.columns), list(columns), scored), ", ".join([*kept, *(f"_m_{c} {rows.schema[c].dataType.simpleString()}" for c in columns)]))
+        each = F.explode(F.array(*(F.struct(F.lit(column).alias("feature"), *(F.col(f"_m_{c}" if c == column else c).alias(c) for c in columns)) for column in columns)))
+        one = moved.select("request", "item", *others, each.alias("_e")).select(F.struct("_e.feature", "request").alias("request"), "item", *others, *(f"_e.{c}" for c in columns))
+        one = value_capture(score(one), k).groupBy("request.feature").agg(F.sum("capture").alias("capture"))
+        out = one if out is None else out.unionByName(one)
+    names = rows.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    out = names.join(out.groupBy("feature").agg(F.sum("capture").alias("capture")), "feature", "left").withColumn("capture", F.coalesce("capture", F.lit(0.0)) / repeats)
+    return out.crossJoin(F.broadcast(base)).select("feature", F.when(F.col("_requests") > 0, (F.col("_base") - F.col("capture")) / F.col("_requests")).alias("drop"))  # one row
+
+
+def _exchange(names: list[str], columns: list[str], scored: str | None):
+    """The rows of a part, or those that are flagged, with ``columns`` as the rows of their places in the other order have them."""
+
+    def run(part: pa.Table) -> pa.Table:
+        here = part.sort_by([("request", "ascending"), ("item", "ascending")])
+        there = here.select(["_turn", *columns]).take(pc.sort_indices(here, [("_turn", "ascending"), ("request", "ascending"), ("item", "ascending")]))
+        out = here.select(names)
+        for c in columns:
+            out = out.append_column(f"_m_{c}", there[c])
+        return out if scored is None else out.filter(out[scored])
+
+    return run
 
 
 def listwise_sample(pool: DataFrame, positives: int, hard: int, random_tail: int, seed: int = 3) -> DataFrame:
@@ -88,14 +112,16 @@ def listwise_sample(pool: DataFrame, positives: int, hard: int, random_tail: int
     positive = F.col("label") > 0
     kind = F.when(positive, "positive").otherwise("negative")
     w = Window.partitionBy("request", "_kind")
-    ranked = pool.withColumn("_kind", kind).withColumn("_n", F.row_number().over(w.orderBy(F.desc(F.when(positive, F.col("cost"))), "pre_rank", "item")))
-    taken = ranked.withColumn("role", F.when(positive & (F.col("_n") <= positives), "positive").when(~positive & (F.col("_n") <= hard), "hard"))
-    tail = Window.partitionBy("request").orderBy(seeded(seed, "request", "item"), "item")
-    rest = taken.filter(F.col("role").isNull() & ~positive).withColumn("_t", F.row_number().over(tail)).filter(F.col("_t") <= random_tail).withColumn("role", F.lit("tail")).drop("_t")
-    out = taken.filter("role is not null").unionByName(rest)
+    place = F.row_number().over(w.orderBy(F.desc(F.when(positive, F.col("cost"))), "pre_rank", "item"))
+    ranked = pool.repartition("request").withColumn("_kind", kind).withColumn("_n", place)  # one shuffle for all that follows
+    role = F.when(positive & (F.col("_n") <= positives), "positive").when(~positive & (F.col("_n") <= hard), "hard")
+    taken = ranked.withColumn("role", role).withColumn("_rest", F.col("role").isNull() & ~positive)
+    tail = Window.partitionBy("request", "_rest").orderBy(seeded(seed, "request", "item"), "item")
+    drawn = F.col("_rest") & (F.row_number().over(tail) <= random_tail)
+    out = taken.withColumn("role", F.coalesce("role", F.when(drawn, F.lit("tail")))).filter("role is not null")
     root = F.sqrt(F.greatest(F.lit(0.0), F.when(positive, F.col("cost")).otherwise(0.0)))
     total = F.sum(root).over(Window.partitionBy("request"))
-    return out.withColumn("target", F.when(total > 0, root / total).otherwise(0.0)).drop("_kind", "_n")
+    return out.withColumn("target", F.when(total > 0, root / total).otherwise(0.0)).drop("_kind", "_n", "_rest")
 
 
 def shuffled(rows: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
