@@ -161,18 +161,26 @@ def counter_features(prefix: str) -> list[Column]:
     return [F.log1p(c("clicks")).alias(f"{prefix}_log_clicks"), F.log1p(F.greatest(F.lit(0.0), c("sum"))).alias(f"{prefix}_log_sum"), c("avg"), c("age"), c("present")]
 
 
-def counter_table(counters: DataFrame, keys: Sequence[str], families: Sequence[str], windows: Sequence[str]) -> DataFrame:
-    """As-of counters ``(*keys, family, <window>_clicks, ...)`` as one row per key: five model inputs of each family and window."""
+def counter_table(counters: DataFrame, keys: Sequence[str], families: Sequence[str], windows: Sequence[str], zeros: bool = False) -> DataFrame:
+    """As-of counters ``(*keys, family, <window>_clicks, ...)`` as one row per key: five model inputs of each family and window.
+
+    A family that a key lacks gives nulls, or with ``zeros`` what no clicks give. Rows are shuffled as they are and become
+    columns afterwards, so what is shuffled doesn't grow with the number of columns.
+    """
+    names = [f"{w}_{c}" for w in windows for c in ("clicks", "sum", "avg", "age", "present")]
+    once = counters.select(*keys, "family", *names).repartition(*keys).groupBy(*keys, "family").agg(*(F.max(c).alias(c) for c in names))  # keys may repeat
+    rows = once.select(*keys, "family", F.struct(*names).alias("_c")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("family", "_c"))).alias("_m"))
+    rows = rows.select(*keys, *(F.try_element_at("_m", F.lit(f)).alias(f"_{f}") for f in families))
     columns = []
     for f in families:
         for w in windows:
-            of = lambda c: F.max(F.when(F.col("family") == f, F.col(f"{w}_{c}")))  # noqa: B023, E731
+            of = lambda c: F.coalesce(F.col(f"_{f}.{w}_{c}"), F.lit(0)) if zeros else F.col(f"_{f}.{w}_{c}")  # noqa: B023, E731
             columns += [
                 F.log1p(of("clicks").cast("double")).alias(f"{f}_{w}_log_clicks"),
                 F.log1p(F.greatest(F.lit(0.0), of("sum"))).alias(f"{f}_{w}_log_sum"),
                 *(of(c).alias(f"{f}_{w}_{c}") for c in ("avg", "age", "present")),
             ]
-    return counters.groupBy(*keys).agg(*columns)
+    return rows.select(*keys, *columns)
 
 
 def counter_crosses(a: str, b: str) -> dict[str, Column]:

@@ -12,11 +12,20 @@ def output_report(ranking: DataFrame, requests: DataFrame, catalog: DataFrame, k
     Faults: requests without a list or unknown, lists that are short or long, repeated items, unknown items, and ranks
     that are not 1 to the list's length.
     """
-    known = requests.select("request").distinct().withColumn("_known", F.lit(1))
+    return report_of_faults(faults_of_lists(ranking, catalog), requests, k)
+
+
+def faults_of_lists(ranking: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row a request: its list's length, distinct and unknown items, least, greatest and distinct ranks."""
     items = catalog.select("item").distinct().withColumn("_item", F.lit(1))
-    rows = ranking.join(items, "item", "left").groupBy("request").agg(
+    return ranking.join(items, "item", "left").groupBy("request").agg(
         F.count(F.lit(1)).alias("_n"), F.countDistinct("item").alias("_d"), F.count_if(F.col("_item").isNull()).alias("_u"), F.min("rank").alias("_lo"), F.max("rank").alias("_hi"), F.countDistinct("rank").alias("_r")
     )
+
+
+def report_of_faults(rows: DataFrame, requests: DataFrame, k: int) -> DataFrame:
+    """The report of ``output_report`` from the rows of ``faults_of_lists``."""
+    known = requests.select("request").distinct().withColumn("_known", F.lit(1))
     both = rows.join(known, "request", "full_outer")
     n = F.coalesce("_n", F.lit(0))
     return both.agg(
