@@ -8,6 +8,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from rankflow.functions.text import tokens
 from rankflow.operators.ranking import top_k
+from rankflow.sources.tables import work_table
 
 #: Queries that a block holds, and pairs of blocks are scored in a task at a time.
 QUERY_BLOCK, ITEM_BLOCK = 512, 4096
@@ -53,24 +55,62 @@ def vector_top_k(queries: DataFrame, items: DataFrame, k: int, id_col: str = "id
 FIXED = 100_000_000
 
 
-def tfidf_top_k(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+#: Terms of whose weights a join's table is made, at most; all others are shuffled.
+FREQUENT = 100_000
+
+
+def _counted(df: DataFrame, name: str) -> DataFrame:
+    """``(name, term, tf)`` of ``(id, text)``, counted within each text; texts of one id are one, an id's rows stay together."""
+    if df.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        df = df.groupBy("id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            words = lists.flatten().dictionary_encode()
+            at = np.asarray(pc.list_parent_indices(lists), dtype=np.int64)
+            size = max(1, len(words.dictionary))
+            pairs, tf = np.unique(at * size + words.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs // size)), words.dictionary.take(pa.array(pairs % size)), pa.array(tf.astype(np.int64))], names=[name, "term", "tf"])
+
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # however few files there are
+    return spread.select("id", tokens(F.col("text")).alias("terms")).mapInArrow(count, f"{name} {df.schema['id'].dataType.simpleString()}, term string, tf long")
+
+
+def tfidf_top_k(queries: DataFrame, documents: DataFrame, k: int, frequent: int = FREQUENT) -> DataFrame:
     """Cosine of TF-IDF weights ``(1 + ln tf) * ln(1 + N / df)``; both sides are ``(id, text)``.
 
     ``query``, ``item``, ``score`` to 8 digits, ``rank``; ties go to the smaller item. A text without known terms finds
-    nothing, and null texts have none. Only terms that a query has meet in the join, whose common terms Spark splits as
-    skewed keys; document norms come from an aggregation over all terms.
+    nothing, and null texts have none. Terms are counted within texts and written once, a document's side by side. The
+    weights of the most frequent terms are a join's table, so a document's norm is summed where it is read and only rare
+    terms are shuffled; so are the queries' terms with their queries, if they are at most ``frequent``, and products are
+    summed by query and document before the shuffle.
     """
-    terms = lambda df, name: df.select(F.col("id").alias(name), F.explode(tokens(F.col("text"))).alias("term")).groupBy(name, "term").agg(F.count(F.lit(1)).alias("tf"))
     fixed = lambda x: F.round(x * FIXED).cast("long")
-    of_docs, of_queries = terms(documents, "item"), terms(queries, "query")
+    weight = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    of_docs, of_queries = work_table(_counted(documents, "item"), "terms"), _counted(queries, "query")
     n = documents.agg(F.count(F.lit(1)).alias("_all"))
-    idf = of_docs.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n)).select("term", F.log(1 + F.col("_all") / F.col("_df")).alias("idf"))  # one row
-    weigh = lambda df: df.join(idf, "term").withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    docs, asked = weigh(of_docs), weigh(of_queries)
-    norms = docs.groupBy("item").agg(F.sqrt(F.sum(fixed(F.col("w") * F.col("w"))).cast("double")).alias("_dn"))
+    df = of_docs.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    idf = work_table(df.crossJoin(F.broadcast(n)).select("term", "_df", F.log(1 + F.col("_all") / F.col("_df")).alias("idf")), "idf")  # one row
+    least, terms = 1 << 62, 0
+    for row in idf.groupBy(F.floor(F.log2("_df")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("terms")).orderBy(F.desc("power")).collect():  # a row for each power of two
+        terms += row["terms"]
+        if terms > frequent:
+            break
+        least = 1 << row["power"]
+    common = idf.filter(F.col("_df") >= least).select("term", "idf")
+    rare = idf.filter(F.col("_df") < least).select("term", "idf")
+    often = of_docs.join(F.broadcast(common), "term").select("item", weight.alias("w"))  # FREQUENT terms at most
+    seldom = of_docs.join(F.broadcast(common.select("term")), "term", "left_anti").join(rare, "term").select("item", weight.alias("w"))
+    squares = lambda x: x.groupBy("item").agg(F.sum(fixed(F.col("w") * F.col("w"))).alias("_s"))
+    norms = squares(often).unionByName(squares(seldom)).groupBy("item").agg(F.sqrt(F.sum("_s").cast("double")).alias("_dn"))
+    asked = of_queries.join(idf, "term").select("query", "term", "idf", weight.alias("w"))
     query_norms = asked.groupBy("query").agg(F.sqrt(F.sum(fixed(F.col("w") * F.col("w"))).cast("double")).alias("_qn"))
-    dots = asked.select("query", "term", F.col("w").alias("_q")).join(docs.select("item", "term", "w"), "term").groupBy("query", "item").agg(F.sum(fixed(F.col("_q") * F.col("w"))).cast("double").alias("_dot"))
-    scored = dots.join(norms, "item").join(query_norms, "query").select("query", "item", F.round(F.col("_dot") / (F.col("_dn") * F.col("_qn")), 8).alias("score"))
+    asked = work_table(asked.join(query_norms, "query").groupBy("term", "idf").agg(F.collect_list(F.struct("query", "w", "_qn")).alias("_asked")), "asked")
+    found = of_docs.join(F.broadcast(asked) if asked.count() <= frequent else asked, "term")
+    each = found.select("item", weight.alias("_d"), F.explode("_asked").alias("_q"))
+    dots = each.groupBy("_q.query", "_q._qn", "item").agg(F.sum(fixed(F.col("_q.w") * F.col("_d"))).cast("double").alias("_dot"))
+    scored = dots.join(norms, "item").select("query", "item", F.round(F.col("_dot") / (F.col("_dn") * F.col("_qn")), 8).alias("score"))
     return top_k(scored, "query", [F.desc("score"), F.asc("item")], k)
 
 
